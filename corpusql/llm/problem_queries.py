@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm import encode, formats, mixture, survivors
+from corpusql.llm import encode, formats, history, mixture, survivors
 from corpusql.session import staged, table
 
 
@@ -54,3 +54,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {}
+
+
+def _p5_rows(spark: SparkSession, d: str) -> DataFrame:
+    entries, found = table(spark, d, "entries"), table(spark, d, "discovery_results")
+    return history.title_rows(entries, F.lit(None).cast("long"), F.lit(0)).unionByName(
+        history.title_rows(found, F.col("arrival").cast("long"), F.col("batch_no"))
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """arrival, seen_in of discovery rows that bring nothing new."""
+    return history.seen_before(_p5_rows(spark, d)).select(F.col("rid").alias("arrival"), "seen_in").distinct()
