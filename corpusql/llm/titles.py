@@ -18,7 +18,7 @@ def cut_end(title: Column) -> Column:
 
 
 def _tolerance(w: Column) -> Column:
-    exact = w.isin(EDITION_WORDS) | w.rlike("[0-9]")
+    exact = w.rlike("^([ivx]+|.*[0-9].*)$")
     n = F.length(w)
     return F.when(exact, 0).when(n <= 2, 1).when(n <= 4, 1).when(n <= 8, 2).otherwise(3)
 
