@@ -66,20 +66,26 @@ def instant_micros(c: Column | str) -> Column:
 
 
 def strip_marks(c: Column | str) -> Column:
-    """Letters without accents, precomposed or followed by combining marks."""
-    return F.translate(F.regexp_replace(F.lower(as_col(c)), r"\p{M}+", ""), MARKED, PLAIN_)
+    """Lower-case letters without accents (precomposed or combining), soft hyphens and characters of no width."""
+    gone = "\u00ad\u200b\u200c\u200d\ufeff" + "".join(map(chr, range(0x300, 0x370)))
+    return F.translate(F.lower(as_col(c)), MARKED + gone, PLAIN_)
+
+
+def title_norm(c: Column | str) -> Column:
+    """The words of a title, one blank between them: no markup, entities or accents, lower case; NULL stays NULL."""
+    c = as_col(c)
+    plain = F.when(c.rlike("[<&]"), F.regexp_replace(F.regexp_replace(c, r"</?[A-Za-z][^<>]{0,20}>", ""), r"&(#\d+|#x[0-9A-Fa-f]+|[A-Za-z]+);", " ")).otherwise(c)
+    return F.trim(F.regexp_replace(strip_marks(plain), r"[^\p{L}\p{N}]+", " "))
 
 
 def title_words(c: Column | str) -> Column:
-    """Words of a title: no markup, entities, soft hyphens or accents; lower case."""
-    plain = F.regexp_replace(as_col(c), r"</?[A-Za-z][^<>]{0,20}>|[­​‌‍﻿]", "")
-    plain = F.regexp_replace(plain, r"&(#\d+|#x[0-9A-Fa-f]+|[A-Za-z]+);", " ")
-    return F.filter(F.split(strip_marks(plain), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """The words of a title as an array."""
+    return F.array_remove(F.split(title_norm(c), " "), "")
 
 
 def fold_title(c: Column | str) -> Column:
     """A title's letters and digits alone, in lower case without accents; NULL if nothing is left."""
-    return F.nullif(F.array_join(title_words(c), ""), F.lit(""))
+    return F.nullif(F.replace(title_norm(c), F.lit(" ")), F.lit(""))
 
 
 def slug_title(c: Column | str) -> Column:
