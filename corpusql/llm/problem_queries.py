@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm import encode, formats, history, mixture, survivors
+from corpusql.llm import encode, formats, history, matching, mixture, survivors
 from corpusql.session import staged, table
 
 
@@ -66,3 +66,14 @@ def _p5_rows(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """arrival, seen_in of discovery rows that bring nothing new."""
     return history.seen_before(_p5_rows(spark, d)).select(F.col("rid").alias("arrival"), "seen_in").distinct()
+
+
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    """rec_id, arrival, confidence of library records and discovery rows that describe the same paper."""
+    left, right = matching.library_rows(table(spark, d, "library_records")), matching.discovery_rows(table(spark, d, "discovery_results"))
+    return matching.match_records(left, right).select(F.col("a").alias("rec_id"), F.col("b").alias("arrival"), "confidence")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """rec_id, arrival of a library record and a discovery row that describe the same paper."""
+    return p2_matches(spark, d).select("rec_id", "arrival").distinct()

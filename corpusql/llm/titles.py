@@ -23,44 +23,49 @@ def _tolerance(w: Column) -> Column:
     return F.when(exact, 0).when(n <= 2, 1).when(n <= 4, 1).when(n <= 8, 2).otherwise(3)
 
 
-def _all_near(extra: Column, others: Column, other_fold: Column) -> Column:
+def _all_near(extra: Column, others: Column, other_fold: Column, abbreviated: bool) -> Column:
     """Each word has a near word among the others, or stands within the other title (words written together)."""
 
     def near(w: Column) -> Column:
         inside = (F.length(w) >= 3) & ~w.isin(EDITION_WORDS) & F.contains(other_fold, w)
         letters = lambda x: F.array_sort(F.split(x, ""))
         swapped = lambda v: (F.length(w) <= 4) & (F.levenshtein(w, v) == 2) & (letters(w) == letters(v))
-        return inside | F.exists(others, lambda v: (F.levenshtein(w, v) <= F.least(_tolerance(w), _tolerance(v))) | swapped(v))
+        starts = lambda v, w: (F.length(v) >= 3) & F.startswith(w, v)
+        short = (lambda v: starts(v, w) | starts(w, v)) if abbreviated else lambda v: F.lit(False)
+        return inside | F.exists(others, lambda v: (F.levenshtein(w, v) <= F.least(_tolerance(w), _tolerance(v))) | swapped(v) | short(v))
 
     return F.forall(extra, near)
 
 
-def same_title(words_a: Column, fold_a: Column, cut_a: Column, words_b: Column, fold_b: Column, cut_b: Column) -> Column:
+def same_title(words_a: Column, fold_a: Column, cut_a: Column, words_b: Column, fold_b: Column, cut_b: Column, by_hand: bool = False) -> Column:
     """Both titles name the same work.
 
     Words of one title that the other lacks must each be a slip of one that the other has instead; a site is such a
     word, so titles that differ in the site differ. Words that tell editions and parts apart allow no slip. A title
     with a cut end is compared with as many words of the other one, without its last, broken word; at least five
-    words must be left.
+    words must be left. ``by_hand``: title a may abbreviate words and leave out a subtitle (at least five words stay).
     """
     na, nb = F.size(words_a), F.size(words_b)
+    most = 8 if by_hand else 6
 
     def near(x: Column, fx: Column, y: Column, fy: Column) -> Column:
         dx, dy = F.array_except(x, y), F.array_except(y, x)
-        return (F.size(dx) <= 6) & (F.size(dy) <= 6) & _all_near(dx, dy, fy) & _all_near(dy, dx, fx)
+        return (F.size(dx) <= most) & (F.size(dy) <= most) & _all_near(dx, dy, fy, by_hand) & _all_near(dy, dx, fx, by_hand)
 
-    def head(x: Column, fx: Column, n: Column, y: Column, fy: Column, m: Column) -> Column:
-        """x is cut: its words but the last are those at y's start."""
-        short, start = F.slice(x, 1, F.greatest(n - 1, F.lit(1))), F.slice(y, 1, F.greatest(n - 1, F.lit(1)))
-        rest = F.slice(y, F.greatest(n, F.lit(1)), F.greatest(m, F.lit(1)))
-        return (n >= 6) & (m >= n) & ~F.forall(rest, lambda w: w.isin(EDITION_WORDS) | w.rlike("^[0-9]+$")) & near(short, fx, start, fy)
+    def head(x: Column, fx: Column, n: Column, y: Column, fy: Column, m: Column, broken: int = 1) -> Column:
+        """x is cut: its words (but a broken last one) are those at y's start."""
+        short, start = F.slice(x, 1, F.greatest(n - broken, F.lit(1))), F.slice(y, 1, F.greatest(n - broken, F.lit(1)))
+        rest = F.slice(y, F.greatest(n - broken + 1, F.lit(1)), F.greatest(m, F.lit(1)))
+        other_work = F.exists(rest, lambda w: w.isin(EDITION_WORDS) | w.rlike("^[0-9]+$"))
+        return (n - broken >= 5) & (m >= n) & ~other_work & near(short, fx, start, fy)
 
-    return (
+    same = (
         (fold_a == fold_b)
         | near(words_a, fold_a, words_b, fold_b)
         | (cut_a & head(words_a, fold_a, na, words_b, fold_b, nb))
         | (cut_b & head(words_b, fold_b, nb, words_a, fold_a, na))
     )
+    return same | head(words_a, fold_a, na, words_b, fold_b, nb, 0) if by_hand else same
 
 
 def frequent_words(words: DataFrame, column: str, share: float) -> tuple[DataFrame, list[str], list[str]]:
