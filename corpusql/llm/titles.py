@@ -11,6 +11,9 @@ EDITION_WORDS = [
     "comment", "comments", "reply", "response", "retraction", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "edition",
 ]
 
+# Those of them that may follow a title.
+EDITION_ENDS = [w for w in EDITION_WORDS if w not in ("correction", "corrections", "comment", "comments", "reply", "response")]
+
 
 def cut_end(title: Column) -> Column:
     """The title ends with an ellipsis (so its end may be missing)."""
@@ -56,7 +59,7 @@ def same_title(words_a: Column, fold_a: Column, cut_a: Column, words_b: Column,
         """x is cut: its words (but a broken last one) are those at y's start."""
         short, start = F.slice(x, 1, F.greatest(n - broken, F.lit(1))), F.slice(y, 1, F.greatest(n - broken, F.lit(1)))
         rest = F.slice(y, F.greatest(n - broken + 1, F.lit(1)), F.greatest(m, F.lit(1)))
-        other_work = F.exists(rest, lambda w: w.isin(EDITION_WORDS) | w.rlike("^[0-9]+$"))
+        other_work = F.exists(rest, lambda w: w.isin(EDITION_ENDS) | w.rlike("^[0-9]+$"))
         return (n - broken >= 5) & (m >= n) & ~other_work & near(short, fx, start, fy)
 
     same = (
