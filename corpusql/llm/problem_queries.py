@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm import encode, formats, history, matching, mixture, survivors
+from corpusql.llm import encode, formats, history, matching, mixture, personal, survivors
 from corpusql.session import staged, table
 
 
@@ -77,3 +77,16 @@ def p2_matches(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """rec_id, arrival of a library record and a discovery row that describe the same paper."""
     return p2_matches(spark, d).select("rec_id", "arrival").distinct()
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, kind, value of personal information in the documents."""
+    given, family = personal.learned_names(table(spark, d, "discovery_results"))
+    found = table(spark, d, "documents").select("doc_id", F.inline(personal.found_in(F.col("text"), given, family)))
+    return found.distinct()
+
+
+def p9_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text with typed placeholders."""
+    given, family = personal.learned_names(table(spark, d, "discovery_results"))
+    return table(spark, d, "documents").select("doc_id", personal.redacted(F.col("text"), given, family).alias("text"))
