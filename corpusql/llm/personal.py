@@ -89,7 +89,7 @@ class Finder:
         return any(part in self.family for part in fold_name(name).replace("’", "'").split("'")[0].split("-"))
 
     def _is_given(self, name: str) -> bool:
-        return fold_name(name) in self.given
+        return fold_name(_POSSESSIVE.sub("", name)) in self.given
 
     def _persons(self, text: str) -> Iterator[tuple[int, int]]:
         at = 0
