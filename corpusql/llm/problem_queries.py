@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm import encode, formats, history, matching, mixture, personal, survivors
+from corpusql.llm import encode, formats, history, matching, mixture, personal, scans, survivors
 from corpusql.session import staged, table
 
 
@@ -90,3 +90,24 @@ def p9_text(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text with typed placeholders."""
     given, family = personal.learned_names(table(spark, d, "discovery_results"))
     return table(spark, d, "documents").select("doc_id", personal.redacted(F.col("text"), given, family).alias("text"))
+
+
+def _p1(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    vocabulary = scans.learn_vocabulary(table(spark, d, "documents"), table(spark, d, "discovery_results"))
+    return scans.clean_scans(table(spark, d, "scanned_papers"), table(spark, d, "search_results"), scans.Cleaner(vocabulary))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """src, row_key, item, noise: a row for each kind of noise in an item."""
+    parts = [x.select("src", "row_key", "item", F.explode("noise").alias("noise")) for x in _p1(spark, d)]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every text item, repaired."""
+    return _p1(spark, d)[0].drop("noise")
+
+
+def p1_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every table's rows, repaired."""
+    return _p1(spark, d)[1].drop("noise")
