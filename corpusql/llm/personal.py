@@ -61,6 +61,10 @@ _ID = regex.compile(
     r"|(?<![\p{L}\p{N}])(?P<v>[A-Z]{2} \d{2} \d{2} \d{2} [A-D])(?![\p{L}\p{N}])"
 )
 _PHONE = regex.compile(r"(?<![\p{L}\p{N}.\-/+(§])(?:" + "|".join(PHONE_FORMS) + r")(?![\p{L}\p{N}]|[\-.]\d)", regex.ASCII)
+# What every match of the longer patterns has: quick to look for.
+_DIGIT = regex.compile(r"\d")
+_AT = regex.compile(r"[@＠]|(?i:[\[({<] ?at ?[\])}>]| at [\p{L}\p{N}\-]+(?: dot | ?[\[({])|arroba)")
+_CUE = regex.compile(r"\b(?i:social|ssn\b|passport|pasaporte|passeport|reisepass|travel|identi|id\b|national|personal|personnummer|dni\b|ni[efn]o?\b|ni\b|insurance|sozial|tax|tin\b|steuer|regist|seguridad|sécurité|nhs\b)|身份证|护照|[A-Z]{2} \d{2} \d{2}")
 _GAP = r"(?:[ \t\u00a0]+|[ \t]*\r?\n[ \t]*)"
 _NAME = r"\p{Lu}[\p{L}\p{M}’']+(?:-\p{Lu}[\p{L}\p{M}]+)?"
 _ADDRESS = regex.compile(
@@ -73,6 +77,7 @@ _INITIALS = r"(?:\p{Lu}\.[ \u00a0]?){1,3}"
 _POSSESSIVE = regex.compile(r"(?:['’]s|['’])$")
 
 
+@functools.lru_cache(maxsize=100_000)
 def fold_name(s: str) -> str:
     """Lower case without marks, as ``strip_marks`` folds names in Spark."""
     s = unicodedata.normalize("NFD", unicodedata.normalize("NFC", s).lower())
@@ -93,14 +98,18 @@ class Finder:
 
     def _persons(self, text: str) -> Iterator[tuple[int, int]]:
         at = 0
-        while m := _PERSON.search(text, at):
-            span = self._person(m, text)
-            if span:
+        for m in _PERSON.finditer(text):
+            start = m.start()
+            if start >= at and (m["i"] or self._begins_name(m.group())) and (span := self._person(m, text)):
                 yield span
                 at = span[1]
-            else:  # the next word may begin a name
-                w = regex.compile(r"[\p{L}\p{M}.'’-]+").match(text, m.start())
-                at = max(m.start() + 1, w.end() if w and not m["i"] else m.start() + 1)
+
+    def _begins_name(self, word: str) -> bool:
+        word = fold_name(word)
+        if word in self.given or word in self.family:
+            return True
+        first = _POSSESSIVE.sub("", word.split("-")[0])
+        return first in self.given or first in self.family
 
     def _person(self, m: regex.Match, text: str) -> tuple[int, int] | None:
         start = m.start()
@@ -141,11 +150,13 @@ class Finder:
             if all(end <= a or start >= b for a, b, _ in taken):
                 taken.append((start, end, kind))
 
-        for m in _EMAIL.finditer(text):
-            add(m.start(), m.end(), "email")
-        if any(c.isdigit() for c in text):
-            for m in _ID.finditer(text):
-                add(*m.span("v"), "id_number")
+        if _AT.search(text):  # else the text has no address however written
+            for m in _EMAIL.finditer(text):
+                add(m.start(), m.end(), "email")
+        if _DIGIT.search(text):
+            if _CUE.search(text):
+                for m in _ID.finditer(text):
+                    add(*m.span("v"), "id_number")
             for m in _PHONE.finditer(text):
                 if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
                     add(m.start(), m.end(), "phone")
