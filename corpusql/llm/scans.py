@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusql.session import staged
+
 # What scanning makes of letters and digits (noisy form, own form).
 CONFUSIONS = [
     ("�", "e"), ("�", "a"), ("�", "i"), ("�", "o"), ("�", "n"), ("�", "s"), ("�", "t"), ("�", "r"), ("c", "e"), ("@", "a"), ("|", "i"), ("|", "l"), ("0", "o"), ("ri", "n"), ("†", "t"), ("5", "s"),
@@ -511,17 +513,19 @@ def learn_vocabulary(documents: DataFrame, discovery: DataFrame, share: float =
     """
     text = documents.select("text").filter("text IS NOT NULL")
 
-    def often(pattern: str, group: int = 0, least: int = LEAST, lower: bool = False) -> list[str]:
-        found = F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)))
-        words = text.select(found.alias("w"))
-        words = words.select(F.lower("w").alias("w")) if lower else words
-        counts = words.groupBy("w").agg(F.count("*").alias("n"))
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        return [r.w for r in counts.filter(F.col("n") >= max(least, share * total)).select("w").collect()]
-
-    words = often(r"[\p{L}\p{M}\p{N}]*[\p{L}][\p{L}\p{M}\p{N}']*")
-    compounds = often(r"[\p{L}]+(?:-[\p{L}]+)+", lower=True)
-    before, after = often(r"(\p{L}+) [0-9]", 1, lower=True), often(r"[0-9] (\p{L}+)", 1, lower=True)
+    # What is counted, as pattern, group and whether in lower case.
+    kinds = {
+        "words": (r"[\p{L}\p{M}\p{N}]*[\p{L}][\p{L}\p{M}\p{N}']*", 0, False), "compounds": (r"[\p{L}]+(?:-[\p{L}]+)+", 0, True),
+        "before": (r"(\p{L}+) [0-9]", 1, True), "after": (r"[0-9] (\p{L}+)", 1, True),
+    }
+    each = [
+        F.transform(F.regexp_extract_all(F.lower("text") if lower else F.col("text"), F.lit(pattern), F.lit(group)), lambda w, kind=kind: F.struct(F.lit(kind).alias("kind"), w.alias("w")))
+        for kind, (pattern, group, lower) in kinds.items()
+    ]
+    counts = staged(text.select(F.explode(F.concat(*each)).alias("x")).groupBy("x.kind", "x.w").agg(F.count("*").alias("n")), "words")
+    totals = counts.groupBy("kind").agg((F.sum("n") * share).alias("floor"))
+    kept = counts.join(F.broadcast(totals), "kind").filter(F.col("n") >= F.greatest(F.lit(float(LEAST)), "floor")).select("kind", "w").collect()
+    words, compounds, before, after = ([r.w for r in kept if r.kind == k] for k in kinds)
     sample = discovery.select("title", F.get("authors", F.lit(0)).alias("author"), "venue").filter("title IS NOT NULL").orderBy(F.xxhash64("title")).limit(TRAIN_TITLES).collect()
     names = sorted({w for r in sample for w in regex.findall(r"\p{Lu}\p{Ll}{3,}", r.author or "")})
     sentences = text.select(F.explode(F.slice(F.regexp_extract_all("text", F.lit(r"[A-Z][^.\n#$|{}]{30,160}\. "), F.lit(0)), 1, 2)).alias("s")).orderBy(F.xxhash64("s")).limit(TRAIN_PAGES * 2)
