@@ -518,10 +518,13 @@ def learn_vocabulary(documents: DataFrame, discovery: DataFrame, share: float =
         "words": (r"[\p{L}\p{M}\p{N}]*[\p{L}][\p{L}\p{M}\p{N}']*", 0, False), "compounds": (r"[\p{L}]+(?:-[\p{L}]+)+", 0, True),
         "before": (r"(\p{L}+) [0-9]", 1, True), "after": (r"[0-9] (\p{L}+)", 1, True),
     }
-    each = [
-        F.transform(F.regexp_extract_all(F.lower("text") if lower else F.col("text"), F.lit(pattern), F.lit(group)), lambda w, kind=kind: F.struct(F.lit(kind).alias("kind"), w.alias("w")))
-        for kind, (pattern, group, lower) in kinds.items()
-    ]
+
+    def marked(kind: str) -> Column:
+        pattern, group, lower = kinds[kind]
+        found = F.regexp_extract_all(F.lower("text") if lower else F.col("text"), F.lit(pattern), F.lit(group))
+        return F.transform(found, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("w")))
+
+    each = [marked(kind) for kind in kinds]
     counts = staged(text.select(F.explode(F.concat(*each)).alias("x")).groupBy("x.kind", "x.w").agg(F.count("*").alias("n")), "words")
     totals = counts.groupBy("kind").agg((F.sum("n") * share).alias("floor"))
     kept = counts.join(F.broadcast(totals), "kind").filter(F.col("n") >= F.greatest(F.lit(float(LEAST)), "floor")).select("kind", "w").collect()
