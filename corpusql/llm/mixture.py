@@ -25,13 +25,13 @@ def source_label(c: Column) -> Column:
 
 
 def sized_texts(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, source, text_key, n_tokens of every document with at least one token."""
+    """doc_id, source, text_key, n_tokens of every document; texts without a token have 0."""
     return documents.select(
         "doc_id",
         source_label(F.col("source")).alias("source"),
         F.sha2("text", 256).alias("text_key"),
         token_count(F.col("text"), vocabulary).alias("n_tokens"),
-    ).filter("n_tokens > 0")
+    )
 
 
 def running_total(df: DataFrame, size: str, within: list[str], bucket: str, order: list[str], out: str) -> DataFrame:
@@ -84,7 +84,7 @@ def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, seed:
     )
     first = F.min(F.struct("max_repeats", "source", "doc_id")).alias("m")
     texts = staged(
-        sized.join(F.broadcast(goal), "source").groupBy("text_key").agg(first, F.first("n_tokens").alias("n_tokens"))
+        sized.filter("n_tokens > 0").join(F.broadcast(goal), "source").groupBy("text_key").agg(first, F.first("n_tokens").alias("n_tokens"))
         .select("m.source", "m.doc_id", "n_tokens"),
         "texts",
     )
@@ -117,7 +117,7 @@ def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, seed:
 def mixture_shares(sized: DataFrame, targets: DataFrame, mixture: DataFrame) -> DataFrame:
     """Per source (targets and documents): target_share, max_repeats, texts and tokens there, uses and tokens in the mixture, actual_share, most_used."""
     goal = targets.select(source_label(F.col("source")).alias("source"), "target_share", "max_repeats")
-    there = sized.groupBy(F.coalesce("source", F.lit("(none)")).alias("source")).agg(
+    there = sized.filter("n_tokens > 0").groupBy(F.coalesce("source", F.lit("(none)")).alias("source")).agg(
         F.count_distinct("text_key").alias("n_texts"), F.sum("n_tokens").alias("n_tokens")
     )
     used = mixture.groupBy("source").agg(F.count("*").alias("n_uses"), F.sum("n_tokens").alias("mixed_tokens"), F.max("use_no").alias("most_used"))

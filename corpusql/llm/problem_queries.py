@@ -25,7 +25,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = survivors.discovery_values(table(spark, d, "discovery_results"), table(spark, d, "source_trust")).unionByName(
         survivors.repair_values(table(spark, d, "repair_actions"))
     )
-    return survivors.survivors(rows).select("src", "grp", "field", "pick").distinct()
+    return survivors.survivors(rows, with_value=False).select("src", "grp", "field", "pick").distinct()
 
 
 def p4_records(spark: SparkSession, d: str) -> DataFrame:

@@ -69,20 +69,24 @@ def currency(moves: DataFrame) -> DataFrame:
     return sums.select("field", "cls", ((F.col("into") - F.col("out")) / (F.col("into") + F.col("out"))).alias("currency"))
 
 
-def survivors(rows: DataFrame, min_rows: int = 2) -> DataFrame:
+def survivors(rows: DataFrame, min_rows: int = 2, with_value: bool = True) -> DataFrame:
     """src, grp, field, pick, value, n_rows: the surviving value of each group with ``min_rows`` rows or more and a usable value.
 
+    Without ``with_value`` values are not carried along and the column is NULL.
+
     rows: src, grp, field, row_id, value (NULL: not usable), trust (higher survives, NULL last), ts (microseconds; the
     latest survives; NULL: the learned order decides, below any known time). Remaining ties go to the largest row_id.
     Repeated rows count as rows. Groups are aggregated, never collected. NULL groups and empty tables give no rows.
     """
-    rows = rows.filter(F.col("grp").isNotNull()).withColumn("cls", value_class(F.col("field"), F.col("value")))
-    valued = rows.filter(F.col("value").isNotNull())
+    rows = rows.filter(F.col("grp").isNotNull()).withColumn("cls", value_class(F.col("field"), F.col("value"))).withColumn("there", F.col("value").isNotNull())
+    if not with_value:
+        rows = rows.withColumn("value", F.lit(None).cast("string"))
+    valued = rows.filter("there")
     order = currency(transitions(valued))
     untimed = valued.filter(F.col("ts").isNull()).select("field", "cls").distinct()
     order = order.join(untimed, ["field", "cls"], "left_semi")  # only what is asked for
     ranked = rows.join(order, ["field", "cls"], "left").withColumn(
-        "best", F.when(F.col("value").isNotNull(), F.struct("trust", "ts", F.when(F.col("ts").isNull(), F.col("currency")).alias("currency"), "row_id", "value"))
+        "best", F.when(F.col("there"), F.struct("trust", "ts", F.when(F.col("ts").isNull(), F.col("currency")).alias("currency"), "row_id", "value"))
     )
     return (
         ranked.groupBy("src", "grp", "field").agg(F.max("best").alias("best"), F.count("*").alias("n_rows"))
