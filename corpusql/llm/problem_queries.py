@@ -28,6 +28,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(rows, with_value=False).select("src", "grp", "field", "pick").distinct()
 
 
+def p4_currency(spark: SparkSession, d: str) -> DataFrame:
+    """Learned order of values: field, before, after and how often the one follows the other in a group."""
+    rows = survivors.discovery_values(table(spark, d, "discovery_results"), table(spark, d, "source_trust")).unionByName(
+        survivors.repair_values(table(spark, d, "repair_actions"))
+    )
+    valued = rows.filter("value IS NOT NULL").withColumn("cls", survivors.value_class(F.col("field"), F.col("value")))
+    return survivors.transitions(valued.filter("grp IS NOT NULL"))
+
+
 def p4_records(spark: SparkSession, d: str) -> DataFrame:
     """One built record a DOI."""
     return survivors.merged_records(table(spark, d, "discovery_results"), table(spark, d, "source_trust"))
@@ -53,7 +62,6 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture_shares(sized, targets, staged(mixture.mix(sized, targets), "mixture"))
 
 
-SQL: dict[str, str] = {}
 
 
 def _p5_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -111,3 +119,33 @@ def p1_texts(spark: SparkSession, d: str) -> DataFrame:
 def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     """Every table's rows, repaired."""
     return _p1(spark, d)[1].drop("noise")
+
+
+# --- SQL ------------------------------------------------------------------------------------------------------------
+
+_CL = r"[\s\p{Z}\x{200b}\x{feff}.,;:!?)\]}>''\"’”]"
+_DOI = rf"nullif(regexp_replace(regexp_extract(lower(doi), '(?s)10\.[0-9].*', 0), '{_CL}+$', ''), '')"
+_COPIES = rf"""c AS (SELECT id, min(id) OVER w AS keep_id, count(*) OVER w AS n FROM (SELECT id, type, coalesce({_DOI}, '') AS d,
+    regexp_replace(lower(nfc_normalize(coalesce(title, ''))), '[^\p{{L}}\p{{N}}]+', '', 'g') AS t FROM entries) WINDOW w AS (PARTITION BY type, t, d))"""
+_NONE = ", ".join(f"'{x}'" for x in survivors.NO_VALUE)
+_USABLE = lambda c: rf"CASE WHEN regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', '', 'g') NOT IN ({_NONE}) THEN {c} END"
+_YEAR = lambda c: rf"(SELECT CASE WHEN y BETWEEN 1800 AND 2030 THEN y::VARCHAR END FROM (SELECT try_cast(regexp_extract({c}::VARCHAR, '^[^\p{{L}}\p{{N}}-]*(\d{{4}})(?:\.0+)?[^\p{{L}}\p{{N}}]*$', 1) AS INT) AS y))"
+_VALUES = f"""d AS (SELECT arrival, {_DOI} AS grp, -trust AS t, {_YEAR("year")} AS y, {_USABLE("venue")} AS v, {_USABLE("abstract")} AS a FROM discovery_results r LEFT JOIN source_trust s ON lower(trim(s.source, ' ')) = lower(trim(r.source, ' '))),
+    r AS (SELECT 'discovery_results' AS src, grp, 'year' AS field, y AS value, t::BIGINT AS trust, arrival AS ts, arrival AS id FROM d UNION ALL SELECT 'discovery_results', grp, 'venue', v, t, arrival, arrival FROM d
+      UNION ALL SELECT 'discovery_results', grp, 'abstract', a, length(a), arrival, arrival FROM d
+      UNION ALL SELECT 'repair_actions', paper_id, field, CASE WHEN field = 'year' THEN {_YEAR("proposed_value")} ELSE {_USABLE("proposed_value")} END,
+        CASE lower(trim(confidence, ' ')) WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END, epoch_us(proposed_at), action_id FROM repair_actions)"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"WITH {_COPIES} SELECT keep_id, id AS copy_id FROM c WHERE id <> keep_id",
+    "p3_records": f"WITH {_COPIES} SELECT keep_id AS id, max(n) AS n_copies FROM c GROUP BY keep_id",
+    "p4_found": f"""WITH {_VALUES} SELECT src, grp, field, arg_max(id, struct_pack(a := coalesce(trust, -1073741824), b := ts, c := id)) FILTER (value IS NOT NULL) AS pick
+      FROM r WHERE grp IS NOT NULL GROUP BY src, grp, field HAVING count(*) >= 2 AND count(value) > 0""",
+    "p4_records": f"""WITH {_VALUES}, p AS (SELECT grp, field, arg_max(value, struct_pack(a := coalesce(trust, -1073741824), b := ts)) AS value, count(*) AS n FROM r
+      WHERE src = 'discovery_results' AND grp IS NOT NULL GROUP BY grp, field)
+      SELECT grp AS doi, max(value) FILTER (field = 'year') AS year, max(value) FILTER (field = 'venue') AS venue, max(value) FILTER (field = 'abstract') AS abstract, max(n) AS n_rows FROM p GROUP BY grp""",
+    "p4_currency": rf"""WITH {_VALUES}, c AS (SELECT src, grp, field, ts, id, CASE field WHEN 'year' THEN value WHEN 'venue' THEN regexp_replace(lower(value), '[^\p{{L}}\p{{N}}]+', '', 'g')
+        ELSE 'size ' || floor(log2(length(value) + 1))::INT END AS cls FROM r WHERE grp IS NOT NULL AND value IS NOT NULL),
+      l AS (SELECT field, lag(cls) OVER (PARTITION BY src, grp, field ORDER BY ts, id) AS before, cls AS after FROM c)
+      SELECT field, before, after, count(*) AS n FROM l WHERE before IS NOT NULL AND before <> after GROUP BY ALL""",
+}

@@ -69,10 +69,11 @@ def currency(moves: DataFrame) -> DataFrame:
     return sums.select("field", "cls", ((F.col("into") - F.col("out")) / (F.col("into") + F.col("out"))).alias("currency"))
 
 
-def survivors(rows: DataFrame, min_rows: int = 2, with_value: bool = True) -> DataFrame:
+def survivors(rows: DataFrame, min_rows: int = 2, with_value: bool = True, keep_empty: bool = False) -> DataFrame:
     """src, grp, field, pick, value, n_rows: the surviving value of each group with ``min_rows`` rows or more and a usable value.
 
-    Without ``with_value`` values are not carried along and the column is NULL.
+    Without ``with_value`` values are not carried along and the column is NULL. With ``keep_empty`` groups without a
+    usable value stay, with a NULL pick.
 
     rows: src, grp, field, row_id, value (NULL: not usable), trust (higher survives, NULL last), ts (microseconds; the
     latest survives; NULL: the learned order decides, below any known time). Remaining ties go to the largest row_id.
@@ -90,7 +91,7 @@ def survivors(rows: DataFrame, min_rows: int = 2, with_value: bool = True) -> Da
     )
     return (
         ranked.groupBy("src", "grp", "field").agg(F.max("best").alias("best"), F.count("*").alias("n_rows"))
-        .filter((F.col("n_rows") >= min_rows) & F.col("best").isNotNull())
+        .filter((F.col("n_rows") >= min_rows) & (F.lit(keep_empty) | F.col("best").isNotNull()))
         .select("src", "grp", "field", F.col("best.row_id").alias("pick"), F.col("best.value").alias("value"), "n_rows")
     )
 
@@ -124,6 +125,6 @@ def repair_values(actions: DataFrame) -> DataFrame:
 
 def merged_records(discovery: DataFrame, trust: DataFrame) -> DataFrame:
     """One built record a DOI: year, venue and abstract of the surviving rows, with the number of rows behind it."""
-    picks = survivors(discovery_values(discovery, trust), min_rows=1)
+    picks = survivors(discovery_values(discovery, trust), min_rows=1, keep_empty=True)
     of = lambda f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f)
     return picks.groupBy(F.col("grp").alias("doi")).agg(of("year"), of("venue"), of("abstract"), F.max("n_rows").alias("n_rows"))
