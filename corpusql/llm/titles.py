@@ -53,7 +53,10 @@ def same_title(words_a: Column, fold_a: Column, cut_a: Column, words_b: Column,
 
     def near(x: Column, fx: Column, y: Column, fy: Column) -> Column:
         dx, dy = F.array_except(x, y), F.array_except(y, x)
-        return (F.size(dx) <= most) & (F.size(dy) <= most) & _all_near(dx, dy, fy, by_hand) & _all_near(dy, dx, fx, by_hand)
+        # Of a word that stands twice in a title one may be a slip; the other title then lacks no word.
+        even = F.size(x) == F.size(y)
+        of_y, of_x = F.when(even & (F.size(dx) > F.size(dy)), y).otherwise(dy), F.when(even & (F.size(dy) > F.size(dx)), x).otherwise(dx)
+        return (F.size(dx) <= most) & (F.size(dy) <= most) & _all_near(dx, of_y, fy, by_hand) & _all_near(dy, of_x, fx, by_hand)
 
     def head(x: Column, fx: Column, n: Column, y: Column, fy: Column, m: Column, broken: int = 1) -> Column:
         """x is cut: its words (but a broken last one) are those at y's start."""
@@ -72,7 +75,7 @@ def same_title(words_a: Column, fold_a: Column, cut_a: Column, words_b: Column,
 
 
 def frequent_words(words: DataFrame, column: str, share: float) -> tuple[DataFrame, list[str], list[str]]:
-    """(word, df) of all rows; words in at least ``share`` of the rows; those of them in at least a tenth of the rows.
+    """(word, df) of all rows; words in at least ``share`` of the rows; those of them in at least a tenth of the rows (and 100).
 
     At most (mean words a row) / ``share`` words can be that frequent, however many rows there are: that bounds what the
     driver gets.
@@ -80,4 +83,4 @@ def frequent_words(words: DataFrame, column: str, share: float) -> tuple[DataFra
     counts = words.select(F.explode(F.array_distinct(column)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     n = words.count()
     often = counts.filter(F.col("df") >= max(3.0, share * n)).collect()
-    return counts, sorted(r.word for r in often), sorted(r.word for r in often if r.df >= 0.1 * n)
+    return counts, sorted(r.word for r in often), sorted(r.word for r in often if r.df >= max(100.0, 0.1 * n))
