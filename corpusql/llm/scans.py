@@ -262,11 +262,16 @@ _PAGES = {
 _LINE_FORMS = {k: regex.compile(v) for k, v in (_FORMS | _PAGES).items()}
 _TAIL = regex.compile(r"(?P<head>.*?\S)(?P<gap>\s+)(?P<tail>" + "|".join(_PAGES[k] for k in ("page-word", "dashed", "bar", "digits")) + r")$")
 _LEAD = regex.compile(r"(?P<tail>" + "|".join(_PAGES[k] for k in ("page-word", "dashed", "bar", "digits")) + r")(?P<gap>\s{2,})(?P<head>\S.*)$")
+_HEADS, _NUMBERS = "|".join(f"(?:{x})" for x in _FORMS.values()), "|".join(f"(?:{x})" for x in _PAGES.values())
+#: All forms at once: what it doesn't match has none of them.
+_SOME_FORM = regex.compile(rf"(?:{_NUMBERS})|(?:{_HEADS})\s*(?:{_NUMBERS})?|(?:{_NUMBERS})\s{{2,}}(?:{_HEADS})")
 LABELS = ["text", "header", "page", "header+page"]
 
 
 def _form(segment: str) -> tuple[str, str]:
     """(form of the head, form of a page number at its end): names in _FORMS and _PAGES or ``none``."""
+    if not _SOME_FORM.fullmatch(segment):
+        return "none", "none"
     for name, rx in _LINE_FORMS.items():
         if rx.fullmatch(segment):
             return name, "none"
@@ -391,29 +396,27 @@ class Cleaner:
         self.editor, self.furniture = Editor(vocabulary), Furniture(vocabulary)
         self.editor.train(rng)
         self.furniture.train(rng)
-        self._memo: dict[str, str] = {}
+        self._tokens: dict[str, str] = {}
 
-    def edited(self, word: str) -> str:
-        """``Editor.edit``, remembered; the memory is emptied when it is full."""
-        if word not in self._memo:
-            if len(self._memo) > 200_000:
-                self._memo.clear()
-            self._memo[word] = self.editor.edit(word)
-        return self._memo[word]
+    def _token(self, token: str) -> str:
+        """A token with its core edited; remembered, and the memory emptied when it is full."""
+        new = self._tokens.get(token)
+        if new is None:
+            core = token.strip(_OUTER)
+            if not core or self.vocabulary.known(core) or not any(c.isalnum() for c in core):
+                new = token
+            else:
+                at = token.index(core)
+                new = token[:at] + self.editor.edit(core) + token[at + len(core) :]
+            if len(self._tokens) > 300_000:
+                self._tokens.clear()
+            self._tokens[token] = new
+        return new
 
     def _words(self, text: str) -> tuple[str, bool]:
         """The text with its words edited, and whether any was."""
-        out, at, changed = [], 0, False
-        for m in _TOKEN.finditer(text):
-            core = m.group().strip(_OUTER)
-            if not core or self.vocabulary.known(core) or not any(c.isalnum() for c in core):
-                continue
-            new = self.edited(core)
-            if new != core:
-                start = m.start() + m.group().index(core)
-                out += [text[at:start], new]
-                at, changed = start + len(core), True
-        return "".join(out) + text[at:], changed
+        new = _TOKEN.sub(lambda m: self._token(m.group()), text)
+        return new, new != text
 
     def _joined(self, text: str) -> tuple[str, bool]:
         out, at, broken = [], 0, False

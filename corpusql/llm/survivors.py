@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusql.functions.text import DAY_US, bare_doi, micros, strip
+from corpusql.operators.skew import salted_join
 
 # Texts, by letters alone, that say only that there is no value.
 NO_VALUE = [
@@ -83,12 +84,12 @@ def survivors(rows: DataFrame, min_rows: int = 2, with_value: bool = True, keep_
     if not with_value:
         rows = rows.withColumn("value", F.lit(None).cast("string"))
     valued = rows.filter("there")
-    order = currency(transitions(valued))
-    untimed = valued.filter(F.col("ts").isNull()).select("field", "cls").distinct()
-    order = order.join(untimed, ["field", "cls"], "left_semi")  # only what is asked for
-    ranked = rows.join(order, ["field", "cls"], "left").withColumn(
-        "best", F.when(F.col("there"), F.struct("trust", "ts", F.when(F.col("ts").isNull(), F.col("currency")).alias("currency"), "row_id", "value"))
-    )
+    undated = rows.filter(F.col("there") & F.col("ts").isNull())
+    # The learned order is needed for undated rows alone, and only of their classes; a class may hold many of them.
+    order = currency(transitions(valued)).join(undated.select("field", "cls").distinct(), ["field", "cls"], "left_semi")
+    undated = salted_join(undated, order, ["field", "cls"], ["row_id"], "left").select(*rows.columns, "currency")
+    dated = rows.filter(~(F.col("there") & F.col("ts").isNull())).withColumn("currency", F.lit(None).cast("double"))
+    ranked = dated.unionByName(undated).withColumn("best", F.when(F.col("there"), F.struct("trust", "ts", "currency", "row_id", "value")))
     return (
         ranked.groupBy("src", "grp", "field").agg(F.max("best").alias("best"), F.count("*").alias("n_rows"))
         .filter((F.col("n_rows") >= min_rows) & (F.lit(keep_empty) | F.col("best").isNotNull()))

@@ -227,6 +227,25 @@ def test_history(spark):
     assert seen(spark, [], []) == [] and seen(spark, catalogue, []) == []
 
 
+def test_forest_batch_by_batch(spark, tmp_path):
+    """Checking batch after batch against the runs gives what one pass over everything gives."""
+    sf = spark.read.parquet
+    entries_, found = sf(f"{SF}/entries.parquet"), sf(f"{SF}/discovery_results.parquet").filter("batch_no <= 3")
+    old = history.title_rows(entries_, F.lit(None).cast("long"), F.lit(0))
+    new = history.title_rows(found, F.col("arrival"), F.col("batch_no"))
+    forest, got = history.Forest(spark, str(tmp_path / "a")), []
+    forest.add(old)
+    for batch in (1, 2, 3):
+        rows_ = new.filter(F.col("batch") == batch)
+        got += rows(forest.check(rows_))
+        forest.add(rows_)
+        if batch == 2:
+            forest = forest.merged(str(tmp_path / "b"))
+            assert len(forest.runs) == 1
+    assert sorted(got) == rows(history.seen_before(old.unionByName(new)))
+    assert rows(history.Forest(spark, str(tmp_path / "c")).check(new.limit(0))) == []
+
+
 def test_history_recall_against_brute_force(spark):
     """Slips, cut ends and look changes of generated titles are found; the same rule checked pair by pair."""
     rng = random.Random(7)
