@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusql.operators import discovery, extraction, reports
+from corpusql.operators import discovery, extraction, ingest, reports
 from corpusql.plans.problems import _doi
 from corpusql.plans.retrieval import _FIRST
 from corpusql.session import table
@@ -170,6 +170,37 @@ _q(
     reports.lookup, "search_results", "entries",
 )
 
+_SLUG = lambda c: f"nullif(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), '')"
+_q(
+    "ing_outcomes",
+    rf"""WITH {_T}, b AS (SELECT doc_id, coalesce(nullif({_FRONT("title")}, ''), regexp_extract(text, '(?m)^#+ +([^\n]+)', 1)) AS title,
+      regexp_extract(regexp_replace(text, '(?is)\n#{{0,3}} *(references|bibliography)\b.*$', ''), '10\.\d{{4,9}}/[^\s"<>]+', 0) AS raw FROM t WHERE regexp_matches(text, '(?s)^---\n.*?\n---')),
+    m AS (SELECT doc_id, {_SLUG("title")} AS slug, {_doi("raw")} AS doi FROM b),
+    r AS (SELECT doc_id, CASE WHEN slug IS NULL THEN 'no_title' WHEN doi IN (SELECT {_doi("doi")} FROM entries WHERE {_doi("doi")} IS NOT NULL) THEN 'doi_known'
+      WHEN slug IN (SELECT {_SLUG("title")} FROM entries WHERE {_SLUG("title")} IS NOT NULL) THEN 'title_known' WHEN doc_id > min(doc_id) OVER (PARTITION BY slug) THEN 'repeated' ELSE '' END AS reason FROM m)
+    SELECT doc_id, CASE reason WHEN '' THEN 'ingested' WHEN 'no_title' THEN 'failed' ELSE 'skipped' END AS outcome, reason FROM r""",
+    ingest.outcomes, "documents", "entries",
+)
+QUERIES["ing_ids"] = lambda spark, d: ingest.new_ids(discovery.merged(table(spark, d, "discovery_results")))
+_q(
+    "cite_evidence", None, lambda d, e: ingest.evidence(extraction.claims(d), e), "documents", "entries"
+)
+_q(
+    "eq_coverage",
+    rf"""WITH v AS (SELECT DISTINCT lower(replace(v, '_', '')) AS v FROM (SELECT unnest(regexp_extract_all(text, '(?m)^\s*([A-Za-z_]\w*) = ', 1)) AS v FROM documents WHERE doc_kind = 'source_file' AND text IS NOT NULL)),
+    e AS (SELECT x, count(DISTINCT scan_id) AS n_papers FROM (SELECT scan_id, unnest(equations).latex AS x FROM scanned_papers) WHERE x IS NOT NULL GROUP BY x), s AS (SELECT x, n_papers, unnest(list_distinct(list_concat(
+      list_filter(regexp_extract_all(x, '\\([a-zA-Z]+)', 1), lambda c: c NOT IN ({_OPS})),
+      list_transform(regexp_extract_all(x, '[A-Za-z]_(?:\{{[A-Za-z0-9,]+\}}|[A-Za-z0-9])'), lambda c: translate(c, '{{}}', '')),
+      list_filter(regexp_extract_all(regexp_replace(regexp_replace(x, '\\[a-zA-Z]+', ' ', 'g'), '[A-Za-z]_(\{{[^}}]*\}}|[A-Za-z0-9])|\{{[A-Za-z]{{2,}}\}}|[A-Za-z]{{2,}}', ' ', 'g'), '[A-Za-z]'), lambda c: c NOT IN ('d', 'e', 'i'))))) AS s FROM e),
+    c AS (SELECT x AS latex, n_papers, count(*) AS n_symbols, count(v.v) AS n_matched FROM s LEFT JOIN v ON v.v = lower(replace(s, '_', '')) GROUP BY x, n_papers)
+    SELECT *, round(n_matched / n_symbols, 6) AS coverage, CASE WHEN round(n_matched / n_symbols, 6) >= 0.8 THEN 'good' WHEN round(n_matched / n_symbols, 6) >= 0.4 THEN 'partial' ELSE 'poor' END AS verdict FROM c""",
+    ingest.equation_coverage, "scanned_papers", "documents",
+)
+_q(
+    "ev_properties", "SELECT event_type, count(*) AS n, count(try_cast(json_extract_string(props, '$.k') AS BIGINT)) AS n_with_k, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS sum_k FROM events GROUP BY 1",
+    ingest.event_properties, "events",
+)
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 QUERIES["stream_windows"] = logs.event_windows

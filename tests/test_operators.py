@@ -6,8 +6,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from corpusql.functions import text
-from corpusql.operators import audit, catalog, extraction, graph, orphans, reports, search, sharing, tagging
+from corpusql.functions import text, urls
+from corpusql.operators import audit, catalog, extraction, graph, ingest, orphans, reports, search, sharing, tagging
 from corpusql.sources import catalogue, markdown, works
 
 
@@ -207,3 +207,24 @@ def test_catalogue_files(spark, tmp_path):
 def test_works_source(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text(json.dumps({"doi": "10.1/a", "abstract_index": {"snow": [1], "deep": [0, 2]}}) + "\n")
     assert works.read_works(spark, str(tmp_path)).first().abstract == "deep snow deep"
+
+
+def test_urls(spark):
+    assert one(spark, urls.preprint_pdf, "https://preprints.example/abs/1.2") == "https://preprints.example/pdf/1.2.pdf"
+    assert one(spark, urls.preprint_pdf, "https://x.example/a.pdf") == "https://x.example/a.pdf"
+    assert one(spark, urls.result_path, "kb://main/papers/a.md:12") == "papers/a.md"
+    assert one(spark, urls.safe_path, "a/../../b") is None and one(spark, urls.safe_path, "a/b") == "a/b"
+    diff = "--- a/x.py\n+++ b/x.py\n@@ -1 +1,2 @@\n-old\n+new = 1\n+\n+++ b/y.py\n+z\n"
+    got = rows(urls.diff_lines(spark.createDataFrame([(diff,), (None,)], "diff string")))
+    assert got == [("x.py", ""), ("x.py", "new = 1"), ("y.py", "z")]
+
+
+def test_new_ids(spark):
+    m = spark.createDataFrame([("10.1/b", "Été in the river bed", 2001), ("10.1/a", "Ete in the sea", 2001), ("10.1/c", None, 2000), ("10.1/d", "X", 9999)], "doi string, title string, year int")
+    assert rows(ingest.new_ids(m)) == [("10.1/a", "paper-ete-in-the-2001"), ("10.1/b", "paper-ete-in-the-2001-2"), ("10.1/d", "paper-x-nd")]
+
+
+def test_evidence(spark):
+    claims = spark.createDataFrame([(100, "This suggests that baseflow matters."), (101, "This suggests that baseflow matters.")], "doc_id long, claim string")
+    e = spark.createDataFrame([("a", "Baseflow of rivers"), ("b", "Snow"), ("c", None)], "id string, title string")
+    assert rows(ingest.evidence(claims, e), "doc_id", "id", "rank") == [(100, "a", 1)]
