@@ -21,9 +21,21 @@ def cut_end(title: Column) -> Column:
 
 
 def _tolerance(w: Column) -> Column:
-    exact = w.rlike("^([ivx]+|.*[0-9].*)$")
     n = F.length(w)
-    return F.when(exact, 0).when(n <= 2, 1).when(n <= 4, 1).when(n <= 8, 2).otherwise(3)
+    return F.when(n <= 4, 1).when(n <= 8, 2).otherwise(3)
+
+
+def _slip_of(w: Column, v: Column) -> Column:
+    """The words are slips of one another: few letters changed, left out, added or swapped.
+
+    Swapped neighbours cost two edits though they are one slip; they leave the letters in sorted order as they are.
+    """
+    exact = lambda x: x.rlike("^([ivx]+|.*[0-9].*)$")
+    edits, most = F.levenshtein(w, v), F.greatest(_tolerance(w), _tolerance(v))
+    moved = F.levenshtein(*(F.array_join(F.array_sort(F.split(x, "")), "") for x in (w, v)))
+    long_ = F.least(F.length(w), F.length(v)) >= 5
+    near = (edits <= most) | ((edits == 2) & (moved == 0)) | (long_ & (edits <= most + 1) & (moved <= 2)) | (long_ & (edits <= most + 2) & (moved <= 1))
+    return F.when(exact(w) | exact(v), w == v).otherwise(near)
 
 
 def _all_near(extra: Column, others: Column, other_fold: Column, abbreviated: bool) -> Column:
@@ -31,11 +43,9 @@ def _all_near(extra: Column, others: Column, other_fold: Column, abbreviated: bo
 
     def near(w: Column) -> Column:
         inside = (F.length(w) >= 3) & ~w.isin(EDITION_WORDS) & F.contains(other_fold, w)
-        letters = lambda x: F.array_sort(F.split(x, ""))
-        swapped = lambda v: (F.length(w) <= 4) & (F.levenshtein(w, v) == 2) & (letters(w) == letters(v))
         starts = lambda v, w: (F.length(v) >= 3) & F.startswith(w, v)
         short = (lambda v: starts(v, w) | starts(w, v)) if abbreviated else lambda v: F.lit(False)
-        return inside | F.exists(others, lambda v: (F.levenshtein(w, v) <= F.least(_tolerance(w), _tolerance(v))) | swapped(v) | short(v))
+        return inside | F.exists(others, lambda v: _slip_of(w, v) | short(v))
 
     return F.forall(extra, near)
 
