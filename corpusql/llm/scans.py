@@ -208,7 +208,7 @@ class Editor:
             for i in range(len(word)):
                 options = _options(word, i)
                 if options:
-                    data.append((_features(word, i, vocabulary, options), truth.get(i, KEEP), [KEEP, *{_op(*x) for x in options}]))
+                    data.append((_features(word, i, vocabulary, options), truth.get(i, KEEP), [KEEP, *sorted({_op(*x) for x in options})]))
 
         for w in words:
             places = [(i, bad, good) for bad, good in plain for i in range(len(w)) if w.startswith(good, i)]
@@ -262,15 +262,15 @@ _PAGES = {
 _LINE_FORMS = {k: regex.compile(v) for k, v in (_FORMS | _PAGES).items()}
 _TAIL = regex.compile(r"(?P<head>.*?\S)(?P<gap>\s+)(?P<tail>" + "|".join(_PAGES[k] for k in ("page-word", "dashed", "bar", "digits")) + r")$")
 _LEAD = regex.compile(r"(?P<tail>" + "|".join(_PAGES[k] for k in ("page-word", "dashed", "bar", "digits")) + r")(?P<gap>\s{2,})(?P<head>\S.*)$")
-_HEADS, _NUMBERS = "|".join(f"(?:{x})" for x in _FORMS.values()), "|".join(f"(?:{x})" for x in _PAGES.values())
-#: All forms at once: what it doesn't match has none of them.
-_SOME_FORM = regex.compile(rf"(?:{_NUMBERS})|(?:{_HEADS})\s*(?:{_NUMBERS})?|(?:{_NUMBERS})\s{{2,}}(?:{_HEADS})")
+_OPENS = regex.compile(r"\p{Lu}[\p{L}\p{M}’'-]*(?: et al\.)?: |(?:\p{Lu}\. ?){1,3}\p{Lu}")
+_ISSUE = regex.compile(r"\(\d{4}\) \d")
 LABELS = ["text", "header", "page", "header+page"]
 
 
 def _form(segment: str) -> tuple[str, str]:
     """(form of the head, form of a page number at its end): names in _FORMS and _PAGES or ``none``."""
-    if not _SOME_FORM.fullmatch(segment):
+    # Cheap signs that every form has: short, all capitals, an issue, ``et al`` or the opening of a named title.
+    if not (len(segment) <= 24 or "et al" in segment or _ISSUE.search(segment) or _OPENS.match(segment) or segment == segment.upper()):
         return "none", "none"
     for name, rx in _LINE_FORMS.items():
         if rx.fullmatch(segment):
@@ -317,7 +317,7 @@ class Furniture:
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Furniture within a running line, where line ends became blanks: (start, end, label)."""
         found: list[tuple[int, int, str]] = []
-        for m in _INLINE.finditer(text):
+        for m in (_INLINE if _SIGN.search(text) else _INLINE_NUMBERS).finditer(text):
             name = m.lastgroup
             start, end = m.span()
             rest, prior = text[end:], text[:start]
@@ -376,12 +376,15 @@ class Furniture:
         self.model.average()
 
 
+_BARE_NUMBERS = rf"(?P<digits>(?<=\s|^)\d{{1,4}}(?=\s|$))|(?P<roman>(?<=\s)(?=[ivxl]{{2,6}}\s)(?:xl|x{{0,3}})(?:ix|iv|v?i{{0,3}})(?=\s))"
+_INLINE_NUMBERS = regex.compile(_BARE_NUMBERS)
+#: What all furniture but bare numbers has.
+_SIGN = regex.compile(rf"\(\d{{4}}\) \d|et al\.(?!,)|\p{{Lu}}[\p{{Lu}}\p{{N}}\"“”'’(),.:?–—-]*(?: |$)\p{{Lu}}|[Pp]age \d|[Pp]\. ?\d|[{DASHES}] \d|\||\p{{Lu}}\. ?\p{{Lu}}\p{{L}}|\p{{Ll}}: [\p{{Lu}}\d\"“]|\d of \d")
 _INLINE = regex.compile(
     rf"(?P<venue>{_FORMS['venue']})|(?P<slash>{_FORMS['slash']}(?![\d.]))|(?P<named>(?<![\p{{L}}\[])\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}’']*(?:-{_CAP})?: [\p{{Lu}}\d\"“][^\n]{{7,39}}?(?=(?<=\p{{L}}) \p{{Ll}}|$)[^\n]{{0,30}})"
     rf"|(?P<et_al>(?<!\()(?<![\p{{L}}]){_FORMS['et-al']})|(?P<initial>(?<![\p{{L}}.°/]){_FORMS['initial']}(?! et al))|(?P<upper>(?<![\p{{L}}\"“(])(?=[^\p{{Ll}}]{{15}})(?:[\p{{Lu}}\"“”'‘’(][\p{{Lu}}\p{{N}}\"“”'’(),.:?–—-]*(?: |$)){{3,}})"
     rf"|(?P<page_word>(?<![\p{{L}}\d])(?:\[page \d{{1,4}}\]|[Pp]age \d{{1,4}}(?: of \d{{1,4}})?|[Pp]\. ?\d{{1,4}}|(?<=\s|^)\d{{1,4}} of \d{{1,4}}(?= [\p{{Ll}}]|$))(?![\d.]*\d))|(?P<dashed>(?<=\s|^)[{DASHES}] \d{{1,4}} [{DASHES}](?=\s|$))|(?P<bar>(?<=\s|^)(?:\d{{1,4}} \||\| \d{{1,4}})(?=\s|$))"
-    rf"|(?P<digits>(?<=\s|^)\d{{1,4}}(?=\s|$))|(?P<roman>(?<=\s)(?=[ivxl]{{2,6}}\s)(?:xl|x{{0,3}})(?:ix|iv|v?i{{0,3}})(?=\s))"
-)
+    "|" + _BARE_NUMBERS)
 
 
 # --- items -----------------------------------------------------------------------------------------------------------------
@@ -397,6 +400,7 @@ class Cleaner:
         self.editor.train(rng)
         self.furniture.train(rng)
         self._tokens: dict[str, str] = {}
+        self._clean: set[str] = set()  # tokens that stay as they are
 
     def _token(self, token: str) -> str:
         """A token with its core edited; remembered, and the memory emptied when it is full."""
@@ -410,16 +414,22 @@ class Cleaner:
                 new = token[:at] + self.editor.edit(core) + token[at + len(core) :]
             if len(self._tokens) > 300_000:
                 self._tokens.clear()
+                self._clean.clear()
             self._tokens[token] = new
         return new
 
     def _words(self, text: str) -> tuple[str, bool]:
         """The text with its words edited, and whether any was."""
-        new = _TOKEN.sub(lambda m: self._token(m.group()), text)
-        return new, new != text
+        strange = set(_TOKEN.findall(text)) - self._clean
+        if all([self._token(t) == t for t in strange]):
+            self._clean |= strange
+            return text, False
+        return _TOKEN.sub(lambda m: self._token(m.group()), text), True
 
     def _joined(self, text: str) -> tuple[str, bool]:
         out, at, broken = [], 0, False
+        if not _GAP_MARK.search(text):
+            return text, False
         for m in _BREAK.finditer(text):
             how = self.editor.joins(m["a"], m["b"], m["mark"], m["gap"])
             if how != "part":
@@ -432,7 +442,7 @@ class Cleaner:
         if not text:
             return text, []
         kinds: set[str] = set()
-        lines = regex.split(r"\r\n|\r|\n", text)
+        lines = _LINE_END.split(text)
         if len(lines) > 1:
             labels = self.furniture.lines(lines)
             for label in labels:
@@ -451,16 +461,16 @@ class Cleaner:
                     kinds |= _kinds(label)
                     parts.append(text[at:start])
                     at = end
-            now = regex.sub(r"  +", " ", " ".join([*(p.strip() for p in parts), text[at:].strip()])) if parts else text
+            now = _BLANKS.sub(" ", " ".join([*(p.strip() for p in parts), text[at:].strip()])) if parts else text
         # Furniture stood in the middle of a sentence or word; the blank lines around it go with it.
-        tight = regex.sub(r"(?<![.!?:…\s])[ \t]*\n(?:[ \t]*\n)+(?=\p{Ll})", "\n", now)
+        tight = _TORN.sub("\n", now)
         now, broken = self._joined(tight)
         if broken:
             kinds.add("hyphenation")
         now, misread = self._words(now)
         if misread:
             kinds.add("misread")
-        paragraphs = [" ".join(p.split()) for p in regex.split(r"\n[ \t]*\n+|\n(?=#)|(?<=#[^\n]*)\n", now)]
+        paragraphs = [" ".join(p.split()) for p in _PARAGRAPHS.split(now)]
         return "\n".join(p for p in paragraphs if p), sorted(kinds)
 
     def table(self, headers: list[str] | None, rows: list[list[str]] | None) -> tuple[list[list[str]], list[str]]:
@@ -498,6 +508,9 @@ class Cleaner:
         return self.furniture.model.predict(_line_features(["a", "", cell, "", "b"], 2, self.vocabulary))
 
 
+_GAP_MARK = regex.compile(rf"[{HYPHENS}](?:[ \t]*\n| )")
+_LINE_END, _BLANKS, _PARAGRAPHS = regex.compile(r"\r\n|\r|\n"), regex.compile("  +"), regex.compile(r"\n[ \t]*\n+|\n(?=#)|(?<=#[^\n]*)\n")
+_TORN = regex.compile(r"(?<![.!?:…\s])[ \t]*\n(?:[ \t]*\n)+(?=\p{Ll})")
 _BREAK = regex.compile(rf"(?P<a>[\p{{L}}\p{{M}}\p{{N}}†�@|]+)(?P<mark>[{HYPHENS}])(?P<gap>[ \t]*\n[ \t]*| +)(?P<b>[\p{{L}}\p{{M}}\p{{N}}†�@|]+)")
 
 

@@ -30,12 +30,18 @@ def _slip_of(w: Column, v: Column) -> Column:
 
     Swapped neighbours cost two edits though they are one slip; they leave the letters in sorted order as they are.
     """
-    exact = lambda x: x.rlike("^([ivx]+|.*[0-9].*)$")
-    edits, most = F.levenshtein(w, v), F.greatest(_tolerance(w), _tolerance(v))
+    roman, number = (lambda x: x.rlike("^[ivx]+$")), (lambda x: x.rlike("[0-9]"))
+    most = F.greatest(_tolerance(w), _tolerance(v))
     moved = F.levenshtein(*(F.array_join(F.array_sort(F.split(x, "")), "") for x in (w, v)))
     long_ = F.least(F.length(w), F.length(v)) >= 5
-    near = (edits <= most) | ((edits == 2) & (moved == 0)) | (long_ & (edits <= most + 1) & (moved <= 2)) | (long_ & (edits <= most + 2) & (moved <= 1))
-    return F.when(exact(w) | exact(v), w == v).otherwise(near)
+
+    def near(edits: Column) -> Column:
+        few = (edits <= most) | ((edits == 2) & (moved == 0)) | (long_ & (edits <= most + 1) & (moved <= 2)) | (long_ & (edits <= most + 2) & (moved <= 1))
+        telling = (roman(w) & roman(v)) | number(w) | number(v)
+        return (edits >= 0) & few & ((edits == 0) | ~telling)
+
+    # The distance is worked out once, in an array of one, and only for words of about the same length.
+    return (F.abs(F.length(w) - F.length(v)) <= 4) & F.exists(F.array(F.levenshtein(w, v, 5)), near)
 
 
 def _all_near(extra: Column, others: Column, other_fold: Column, abbreviated: bool) -> Column:
@@ -54,7 +60,8 @@ def same_title(words_a: Column, fold_a: Column, cut_a: Column, words_b: Column,
     """Both titles name the same work.
 
     Words of one title that the other lacks must each be a slip of one that the other has instead; a site is such a
-    word, so titles that differ in the site differ. Words that tell editions and parts apart allow no slip. A title
+    word, so titles that differ in the site differ. Numerals that tell parts apart allow no slip. Titles that differ in
+    three letters at most are the same, unless a word that tells editions apart is among what differs. A title
     with a cut end is compared with as many words of the other one, without its last, broken word; at least five
     words must be left. ``by_hand``: title a may abbreviate words and leave out a subtitle (at least five words stay).
     """
@@ -66,7 +73,11 @@ def same_title(words_a: Column, fold_a: Column, cut_a: Column, words_b: Column,
         # Of a word that stands twice in a title one may be a slip; the other title then lacks no word.
         even = F.size(x) == F.size(y)
         of_y, of_x = F.when(even & (F.size(dx) > F.size(dy)), y).otherwise(dy), F.when(even & (F.size(dy) > F.size(dx)), x).otherwise(dx)
-        return (F.size(dx) <= most) & (F.size(dy) <= most) & _all_near(dx, of_y, fy, by_hand) & _all_near(dy, of_x, fx, by_hand)
+        words = _all_near(dx, of_y, fy, by_hand) & _all_near(dy, of_x, fx, by_hand)
+        # Slips in words that one title writes together: the letters of the whole titles are compared.
+        telling = F.exists(F.concat(dx, dy), lambda w: w.isin(EDITION_ENDS) | w.rlike("[0-9]"))
+        letters = (F.length(fx) >= 30) & F.levenshtein(fx, fy, 3).between(0, 3) & ~telling
+        return (F.size(dx) <= most) & (F.size(dy) <= most) & (words | letters)
 
     def head(x: Column, fx: Column, n: Column, y: Column, fy: Column, m: Column, broken: int = 1) -> Column:
         """x is cut: its words (but a broken last one) are those at y's start."""
