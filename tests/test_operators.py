@@ -129,6 +129,7 @@ def test_tag_links_against_brute_force(spark):
 
     rng = random.Random(3)
     data = [(f"e{i}", rng.sample("abcdef", rng.randint(0, 4)), rng.choice(["t", "u", ""])) for i in range(60)]
+    data += [(f"l{i}", rng.sample("abcdefghijklmnopq", rng.randint(8, 14)), "t") for i in range(20)]  # small and large sets
     df = spark.createDataFrame(data, "id string, tags array<string>, topic string")
     sets = {i: set(t) | ({p} if p else set()) for i, t, p in data}
     n = dict.fromkeys(sets, 0)
