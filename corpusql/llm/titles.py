@@ -61,7 +61,8 @@ def same_title(words_a: Column, fold_a: Column, cut_a: Column, words_b: Column,
 
     Words of one title that the other lacks must each be a slip of one that the other has instead; a site is such a
     word, so titles that differ in the site differ. Numerals that tell parts apart allow no slip. Titles that differ in
-    three letters at most are the same, unless a word that tells editions apart is among what differs. A title
+    three letters at most are the same, unless a word that tells editions apart is among what differs. Half of the
+    shorter title's words must be equal. A title
     with a cut end is compared with as many words of the other one, without its last, broken word; at least five
     words must be left. ``by_hand``: title a may abbreviate words and leave out a subtitle (at least five words stay).
     """
@@ -86,13 +87,16 @@ def same_title(words_a: Column, fold_a: Column, cut_a: Column, words_b: Column,
         other_work = F.exists(rest, lambda w: w.isin(EDITION_ENDS) | w.rlike("^[0-9]+$"))
         return (n - broken >= 5) & (m >= n) & ~other_work & near(short, fx, start, fy)
 
+    # Half of the shorter title's words are there as they are, or the titles are not worth a closer look.
+    enough = F.size(F.array_intersect(words_a, words_b)) * 2 >= F.least(na, nb)
     same = (
-        (fold_a == fold_b)
-        | near(words_a, fold_a, words_b, fold_b)
+        near(words_a, fold_a, words_b, fold_b)
         | (cut_a & head(words_a, fold_a, na, words_b, fold_b, nb))
         | (cut_b & head(words_b, fold_b, nb, words_a, fold_a, na))
     )
-    return same | head(words_a, fold_a, na, words_b, fold_b, nb, 0) if by_hand else same
+    if by_hand:
+        same = same | head(words_a, fold_a, na, words_b, fold_b, nb, 0)
+    return (fold_a == fold_b) | (enough & same)
 
 
 def frequent_words(words: DataFrame, column: str, share: float) -> tuple[DataFrame, list[str], list[str]]:
