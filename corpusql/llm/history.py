@@ -4,7 +4,8 @@ Titles are collapsed to classes (same words, same DOI). Each class has several s
 of its rare words, and several hashed orders of its frequent words. A permutation is a path of a prefix tree; runs of
 paths, one a batch of history, are merged by union. A new title is looked up by prefix: the longest prefix that keeps
 nodes small is measured on the data. How many links are missed is estimated from how many were found by one tree only
-and by two; while the recall is below its target, prefixes are made a word shorter. Candidates are verified word by word.
+and by two; while the recall is below its target, prefixes are made a word shorter. A crowded node is never refused: it
+is compared in full, block by block. Candidates are verified word by word.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from corpusql.session import staged
 
 TREES = 6
 #: Mean number of titles in the node of a title, from which the prefix is made longer.
-NODE = 3.0
-#: A rare word alone leads to a node if no more titles have it; else two frequent words follow it.
-RARE_ALONE = 100
+NODE = 6.0
+#: A node led by a rare word that more titles have is compared in blocks of about so many titles.
+BLOCK = 2_000
 LONGEST = 7
 #: Crowded rare words are broadcast up to so many (16 bytes each), beyond that joined by a shuffle.
 BROADCAST_WORDS = 200_000
@@ -74,41 +75,44 @@ def _node_size(paths: DataFrame, depth: int) -> float:
     return r.m or 0.0
 
 
-def _keys(words: DataFrame, crowded: DataFrame | None, depth: int, trees: int) -> DataFrame:
-    """cid, bare, key: nodes of a class: one of each hashed tree, two of trees in the title's own order (for cut ends) and,
-    with ``crowded``, one led by each rare word.
+def _keys(words: DataFrame, crowded: DataFrame, depth: int, trees: int) -> DataFrame:
+    """cid, bare, key, blocks: nodes of a class: one of each hashed tree, two of trees in the title's own order (for cut ends)
+    and one led by each rare word alone, which is compared in ``blocks`` blocks.
 
     A title with fewer frequent words than ``depth`` ends with its whole path.
     """
-    node = lambda t: F.when(F.size("frequent") >= 2, F.xxhash64(F.lit(t), F.slice(_tree_order(F.col("frequent"), t), 1, depth)))
+    node = lambda t: F.when(F.size("frequent") >= 1, F.xxhash64(F.lit(t), F.slice(_tree_order(F.col("frequent"), t), 1, depth)))
     start = lambda i: F.when(F.size("frequent") > depth + i - 1, F.xxhash64(F.lit(-i), F.slice("frequent", i, depth + 1)))
     hashed = words.select("cid", "bare", F.explode(F.array(*(node(t) for t in range(trees)), start(1), start(2))).alias("key"))
-    if crowded is None:
-        return hashed.filter(F.col("key").isNotNull())
-    led = words.select("cid", "bare", F.slice(F.sort_array("frequent"), 1, 2).alias("next"), F.explode("rare").alias("word")).join(crowded, "word", "left")
-    led = led.select("cid", "bare", F.when(F.col("crowded"), F.xxhash64("word", "next")).otherwise(F.col("word")).alias("key"))
-    return hashed.filter(F.col("key").isNotNull()).unionByName(led)
+    led = words.select("cid", "bare", F.explode("rare").alias("word")).join(crowded, "word", "left")
+    led = led.select("cid", "bare", F.col("word").alias("key"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    return hashed.filter(F.col("key").isNotNull()).withColumn("blocks", F.lit(1)).unionByName(led)
 
 
 def _verified(keys: DataFrame, classes: DataFrame, new_keys: DataFrame | None = None) -> DataFrame:
-    """a, b, trees: classes with common nodes, a without DOI, whose titles are the same, and how many nodes they share.
+    """a, b, trees, equal: classes with common nodes, a without DOI, whose titles are the same, how many nodes they share, and
+    whether all their letters are equal.
 
     With ``new_keys`` (a part of ``keys``) only pairs with one of those classes are looked at.
     """
-    bare = lambda k: k.filter("bare").select("key", F.col("cid").alias("a"))
-    any_ = lambda k: k.select("key", F.col("cid").alias("b"), F.col("bare").alias("bare_b"))
+    # One side of a node lies in one block each, the other in all of them.
+    own, all_ = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    bare = lambda k: k.filter("bare").select("key", own.alias("block"), F.col("cid").alias("a"))
+    any_ = lambda k: k.select("key", all_.alias("block"), F.col("cid").alias("b"), F.col("bare").alias("bare_b"))
+    meet = lambda x, y: bare(x).join(any_(y), ["key", "block"]).drop("block")
     if new_keys is None:
-        pairs = bare(keys).join(any_(keys), "key").filter(F.when(F.col("bare_b"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+        pairs = meet(keys, keys).filter(F.when(F.col("bare_b"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
     else:
-        pairs = bare(new_keys).join(any_(keys), "key").unionByName(bare(keys).join(any_(new_keys), "key")).filter("a <> b")
+        pairs = meet(new_keys, keys).unionByName(meet(keys, new_keys)).filter("a <> b")
         # Two classes without DOI meet from either side; a node counts once.
         swap = F.col("bare_b") & (F.col("a") > F.col("b"))
         pairs = pairs.select("key", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("trees"))
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("norm").alias(f"norm_{x}"), F.col("cut").alias(f"cut_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    part = lambda x: (F.split(f"norm_{x}", " "), F.replace(f"norm_{x}", F.lit(" ")), F.col(f"cut_{x}"))
-    return both.filter(same_title(*part("a"), *part("b"))).select("a", "b", "trees")
+    letters = lambda x: F.replace(f"norm_{x}", F.lit(" "))
+    part = lambda x: (F.split(f"norm_{x}", " "), letters(x), F.col(f"cut_{x}"))
+    return both.filter(same_title(*part("a"), *part("b"))).select("a", "b", "trees", (letters("a") == letters("b")).alias("equal"))
 
 
 def _facts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -118,8 +122,11 @@ def _facts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def estimated_recall(found: DataFrame) -> float:
-    """Share of the links found, from those that one tree only and two trees found (Chao's estimate of the unseen)."""
-    r = found.agg(F.count("*").alias("n"), F.count_if(F.col("trees") == 1).alias("one"), F.count_if(F.col("trees") == 2).alias("two")).first()
+    """Share of the links found, from those that one tree only and two trees found (Chao's estimate of the unseen).
+
+    Pairs with equal letters don't count: all trees find them, and so does ``_exact``.
+    """
+    r = found.filter("NOT equal").agg(F.count("*").alias("n"), F.count_if(F.col("trees") == 1).alias("one"), F.count_if(F.col("trees") == 2).alias("two")).first()
     return r.n / (r.n + r.one * r.one / (2.0 * max(r.two, 1))) if r.n else 1.0
 
 
@@ -140,32 +147,32 @@ def signed(classes: DataFrame, often: list[str], always: list[str]) -> DataFrame
 
 
 def _crowded(signatures: DataFrame) -> DataFrame:
-    """Rare words (hashes) that too many titles have to lead to a node alone."""
+    """word, blocks: rare words (hashes) whose node is compared in several blocks."""
     counts = signatures.select(F.explode("rare").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    words = staged(counts.filter(F.col("df") > RARE_ALONE).select("word", F.lit(True).alias("crowded")), "crowded")
+    words = staged(counts.filter(F.col("df") > BLOCK).select("word", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks")), "crowded")
     return F.broadcast(words) if words.count() <= BROADCAST_WORDS else words
 
 
-def links(classes: DataFrame, signatures: DataFrame, new: DataFrame | None = None, recall: float = 0.95, trees: int = TREES) -> DataFrame:
-    """a, b, trees: classes with the same title, one of them without DOI; with ``new`` (a part of their signatures) only its links.
+def links(classes: DataFrame, signatures: DataFrame, new: DataFrame | None = None, recall: float = 0.97, trees: int = TREES) -> DataFrame:
+    """a, b, trees, equal: classes with the same title, one of them without DOI; with ``new`` (a part of their signatures) only its links.
 
     The prefix starts as long as nodes need to be small; while the estimated recall is below its target, links
-    are looked for again with a prefix one word shorter, unless nodes would grow beyond four times their size.
+    are looked for again with a prefix one word shorter, down to single words.
     """
     crowded = _crowded(signatures)
     path = signatures.select(_tree_order(F.col("frequent"), 0).alias("path"))
 
-    def at(depth: int, rare: DataFrame | None) -> DataFrame:
-        keys = lambda s: None if s is None else _keys(s, rare, depth, trees)
+    def at(depth: int) -> DataFrame:
+        keys = lambda s: None if s is None else _keys(s, crowded, depth, trees)
         return staged(_verified(keys(signatures), classes, keys(new)), "links")
 
     depth = 3
     while depth < LONGEST and _node_size(path, depth) > NODE:
         depth += 1
-    found = at(depth, crowded)
-    while depth > 2 and estimated_recall(found) < recall and _node_size(path, depth - 1) <= 4 * NODE:
+    found = at(depth)
+    while depth > 1 and estimated_recall(found) < recall:
         depth -= 1
-        found = found.unionByName(at(depth, None)).groupBy("a", "b").agg(F.max("trees").alias("trees"))
+        found = at(depth)  # a shorter prefix leads to all that a longer one does
     return found
 
 
@@ -182,7 +189,7 @@ def _seen(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def seen_before(rows: DataFrame, share: float = 0.001, recall: float = 0.95, trees: int = TREES) -> DataFrame:
+def seen_before(rows: DataFrame, share: float = 0.001, recall: float = 0.97, trees: int = TREES) -> DataFrame:
     """rid, seen_in of rows with batch > 0 whose paper is in batch 0 (``entries``), else in an earlier batch (``discovery_results``).
 
     rows: see ``title_rows``. Same paper: equal bare DOI or, where a side has no DOI, the same title
@@ -231,7 +238,7 @@ class Forest:
         """Accept a batch (see ``title_rows``)."""
         self._run(staged(title_classes(rows.filter("batch IS NOT NULL")), "classes"))
 
-    def check(self, rows: DataFrame, recall: float = 0.95, trees: int = TREES) -> DataFrame:
+    def check(self, rows: DataFrame, recall: float = 0.97, trees: int = TREES) -> DataFrame:
         """rid, seen_in of the rows of a new batch, as ``seen_before`` gives them; only the batch is read, and the runs' signatures."""
         rows = staged(rows.filter("batch IS NOT NULL"), "rows")
         fresh = staged(title_classes(rows), "classes")

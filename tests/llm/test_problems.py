@@ -1,5 +1,6 @@
 """The dealt operators on small fixtures: brute force, exact round trips, nulls, empty and long texts, ties, repeats, clashing columns."""
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -263,6 +264,30 @@ def test_history_recall_against_brute_force(spark):
     assert sum(1 for x, _ in got if x < 500) >= 98 and not [x for x, _ in got if x >= 500]
 
 
+def test_history_crowded_word_leads_alone(spark):
+    """A word of more than 100 titles leads to a title whose frequent words are slipped; blocks lose no pair."""
+    unique = iter("".join(x) for x in itertools.product("bdfgklm", "aeiou", "nprst", "aeiou", "vwxz"))
+    filler = lambda n: [next(unique) for _ in range(n)]
+    titles_ = [["kelbor", *filler(2)] for _ in range(120)] + [[w, next(unique)] for w in ("morat", "silven", "dorvak") for _ in range(140)] + [filler(1) for _ in range(960)]
+    catalogue = [("kelbor morat silven dorvak", "10.1/a"), *((" ".join(t), f"10.2/{i}") for i, t in enumerate(titles_))]
+    df = spark.createDataFrame([(None, 0, *x) for x in catalogue] + [(1, 1, "kelbor mroat slivne dorvak", None)], "rid long, batch int, title string, doi string")
+    for block in (2_000, 7):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(history, "BLOCK", block, raising=False)
+            assert rows(history.seen_before(history.title_rows(df, F.col("rid"), F.col("batch")), share=0.09)) == [(1, "entries")]
+
+
+def test_history_widens_past_any_node_size(spark, monkeypatch):
+    """The prefix is made shorter until the estimate holds, and pairs with equal letters don't count in it."""
+    pairs = [("a", "b", 1, False), ("c", "d", 2, False), *(("e", str(i), 6, True) for i in range(98))]
+    assert history.estimated_recall(spark.createDataFrame(pairs, "a string, b string, trees long, equal boolean")) == 0.8
+    seen_at = []
+    monkeypatch.setattr(history, "_node_size", lambda paths, depth: 1000.0)
+    monkeypatch.setattr(history, "estimated_recall", lambda found: seen_at.append(found.count()) or 0.0)
+    seen(spark, [(TITLE, None)], [(1, 1, TITLE.replace("moisture", "moistrue"), None)])
+    assert len(seen_at) == history.LONGEST - 1
+
+
 def test_same_title_editions(spark):
     pairs = [
         (TITLE, TITLE + " II", False), (TITLE, "Erratum: " + TITLE, False), (TITLE + ", Part I", TITLE + ", Part II", False), (TITLE, TITLE.replace("shallow", "deep"), False),
