@@ -61,9 +61,8 @@ def same_title(words_a: Column, fold_a: Column, cut_a: Column, words_b: Column,
 
     Words of one title that the other lacks must each be a slip of one that the other has instead; a site is such a
     word, so titles that differ in the site differ. Numerals that tell parts apart allow no slip. Titles that differ in
-    three letters at most are the same, unless a word that tells editions apart is among what differs. Half of the
-    shorter title's words must be equal. A title
-    with a cut end is compared with as many words of the other one, without its last, broken word; at least five
+    three letters at most are the same, however their words are divided, unless a word that tells editions apart is among
+    what differs. A title with a cut end is compared with as many words of the other one, without its last, broken word; at least five
     words must be left. ``by_hand``: title a may abbreviate words and leave out a subtitle (at least five words stay).
     """
     na, nb = F.size(words_a), F.size(words_b)
@@ -77,8 +76,8 @@ def same_title(words_a: Column, fold_a: Column, cut_a: Column, words_b: Column,
         words = _all_near(dx, of_y, fy, by_hand) & _all_near(dy, of_x, fx, by_hand)
         # Slips in words that one title writes together: the letters of the whole titles are compared.
         telling = F.exists(F.concat(dx, dy), lambda w: w.isin(EDITION_ENDS) | w.rlike("[0-9]"))
-        letters = (F.length(fx) >= 30) & F.levenshtein(fx, fy, 3).between(0, 3) & ~telling
-        return (F.size(dx) <= most) & (F.size(dy) <= most) & (words | letters)
+        letters = (F.length(fx) >= 30) & (F.abs(F.length(fx) - F.length(fy)) <= 3) & F.levenshtein(fx, fy, 3).between(0, 3) & ~telling
+        return ((F.size(dx) <= most) & (F.size(dy) <= most) & words) | letters
 
     def head(x: Column, fx: Column, n: Column, y: Column, fy: Column, m: Column, broken: int = 1) -> Column:
         """x is cut: its words (but a broken last one) are those at y's start."""
@@ -87,8 +86,6 @@ def same_title(words_a: Column, fold_a: Column, cut_a: Column, words_b: Column,
         other_work = F.exists(rest, lambda w: w.isin(EDITION_ENDS) | w.rlike("^[0-9]+$"))
         return (n - broken >= 5) & (m >= n) & ~other_work & near(short, fx, start, fy)
 
-    # Half of the shorter title's words are there as they are, or the titles are not worth a closer look.
-    enough = F.size(F.array_intersect(words_a, words_b)) * 2 >= F.least(na, nb)
     same = (
         near(words_a, fold_a, words_b, fold_b)
         | (cut_a & head(words_a, fold_a, na, words_b, fold_b, nb))
@@ -96,7 +93,7 @@ def same_title(words_a: Column, fold_a: Column, cut_a: Column, words_b: Column,
     )
     if by_hand:
         same = same | head(words_a, fold_a, na, words_b, fold_b, nb, 0)
-    return (fold_a == fold_b) | (enough & same)
+    return (fold_a == fold_b) | same
 
 
 def frequent_words(words: DataFrame, column: str, share: float) -> tuple[DataFrame, list[str], list[str]]:

@@ -302,6 +302,24 @@ def test_same_title_editions(spark):
         assert r.got == r.want, (r.a, r.b)
 
 
+def test_same_title_without_equal_words(spark):
+    """Slips, abbreviations or other word borders in most words; the letters decide whatever the words."""
+    pairs = [
+        ("Sedimant transpart modelling", "Sediment transport modelling", False, True), ("水文模型的参数估计方法", "水文模型的参数诂计方法", False, True), ("Hydrolgy", "Hydrology", False, True),
+        ("Robust dete. shal. soil moist. measur.", "Robust detection shallow soil moisture measurement", True, True),
+        ("Anewlook atthe oldmodel ofslow runof inthe hills", "A new look at the old model of slow runoff in the hills", False, True),
+        ("Sediment transport modelling", "Nitrogen balance modelling", False, False), ("Dark matter", "Bright stars", False, False),
+    ]
+    df = spark.createDataFrame(pairs, "a string, b string, by_hand boolean, want boolean")
+    part = lambda c: (titles_words(c), F.array_join(titles_words(c), ""), titles.cut_end(F.col(c)))
+    titles_words = lambda c: F.split(title_norm(c), " ")
+    from corpusql.functions.text import title_norm
+
+    got = F.when(F.col("by_hand"), titles.same_title(*part("a"), *part("b"), by_hand=True)).otherwise(titles.same_title(*part("a"), *part("b")))
+    for r in df.select("a", "b", "want", got.alias("got")).collect():
+        assert r.got == r.want, (r.a, r.b)
+
+
 # --- p7 ------------------------------------------------------------------------------------------------------------------------------------
 
 
