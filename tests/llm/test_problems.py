@@ -116,6 +116,21 @@ def test_matching(spark):
     assert matched(spark, [], disc) == [] and matched(spark, lib, []) == []
 
 
+def test_matching_many_copies_of_a_heading(spark):
+    lib = [(i, TITLE, "Dorberg, C.", "2010", None) for i in range(60)]
+    disc = [(1, 1, TITLE, ["C. Dorberg"], 2010, None), (2, 1, TITLE.replace("moisture", "moistrue"), ["C. Dorberg"], 2010, None)]
+    assert matched(spark, lib, disc) == sorted(((i, j) for i in range(60) for j in (1, 2)), key=repr)
+
+
+def test_matching_window_grows(spark):
+    """A window of one place grows until all pairs of twelve slipped titles are found."""
+    slips = [TITLE[:i] + TITLE[i + 1] + TITLE[i] + TITLE[i + 2 :] for i in (m.start() + 1 for m in re.finditer(r"[A-Za-z]{6,}", TITLE))][:6]
+    left = matching.library_rows(spark.createDataFrame([(i, t, "Dorberg, C.", "2010", None, 0) for i, t in enumerate(slips)], LIB))
+    right = matching.discovery_rows(spark.createDataFrame([(i, 1, t, ["C. Dorberg"], 2010, None, 0) for i, t in enumerate(slips)], DISC))
+    got = rows(matching.match_records(left, right, window=1), "a", "b")
+    assert got == sorted(((i, j) for i in range(len(slips)) for j in range(len(slips))), key=repr)
+
+
 def test_assignment_is_best(spark):
     """Against all one-to-one assignments, on random rival edges."""
     import itertools
