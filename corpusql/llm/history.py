@@ -1,16 +1,17 @@
 """Deduplicating new batches against all history with a forest of sorted title signatures.
 
-Titles are collapsed to classes (same words, same DOI). Each class has several signature permutations: one led by each
-of its rare words, and several hashed orders of its frequent words. A permutation is a path of a prefix tree; runs of
-paths, one a batch of history, are merged by union. A new title is looked up by prefix: the longest prefix that keeps
-nodes small is measured on the data. How many links are missed is estimated from how many were found by one tree only
-and by two; while the recall is below its target, prefixes are made a word shorter. A crowded node is never refused: it
-is compared in full, block by block. Candidates are verified word by word.
+A title has several signature permutations: hashed orders of its frequent words, its own word order (for cut ends), and
+each of its rare words alone; DOI and letters are two more, of one element. A permutation is a path of a prefix tree, packed so
+that paths sort by their prefixes: a node of any depth is one range of the sorted run. Runs are written once, in ranges; a
+batch opens only the ranges that its own paths fall into, finds its nodes there, and leaves the rest of history unread.
+How many links are missed is estimated from how many were found by one permutation only and by two; while the recall is below its
+target, prefixes are made a word shorter and the batch is looked up again. Candidates are verified word by word.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +19,22 @@ from pyspark.sql import functions as F
 from corpusql.functions.text import bare_doi, title_norm
 from corpusql.llm.titles import cut_end, frequent_words, same_title
 from corpusql.operators.skew import salted_join
-from corpusql.session import staged
+from corpusql.session import discard, new_path, staged, write_table
 
-TREES = 6
-#: Mean number of titles in the node of a title, from which the prefix is made longer.
+#: Hashed orders of the frequent words.
+TREES = 8
+#: Mean number of titles in a title's node, up to which the prefix is short enough to begin with.
 NODE = 6.0
-#: A node led by a rare word that more titles have is compared in blocks of about so many titles.
-BLOCK = 2_000
-LONGEST = 7
-#: Crowded rare words are broadcast up to so many (16 bytes each), beyond that joined by a shuffle.
-BROADCAST_WORDS = 200_000
+#: Rows of a range of a sorted run.
+RANGE_ROWS = 2_000_000
+#: Runs of one history, from which on they are merged.
+RUNS = 4
+#: Batches are taken together until they have so many rows, so that small ones don't cost a job each.
+TOGETHER = 50_000
+#: Words of a path: the first has 28 bits of the key, three more 12 bits each, four more lie in ``rest``.
+LONGEST = 8
+#: Kinds of permutations: what is compared is the whole key, but for TREE, whose nodes are prefixes.
+DOI, LETTERS, ALONE, TREE = 0, 1, 2, 3
 
 
 def title_rows(df: DataFrame, rid: Column, batch: Column) -> DataFrame:
@@ -40,222 +47,260 @@ def title_rows(df: DataFrame, rid: Column, batch: Column) -> DataFrame:
 
 
 def title_classes(rows: DataFrame) -> DataFrame:
-    """One row for rows of the same words, DOI and cut: cid, norm, cut, doi, catalogued, first_batch, last_batch."""
-    return rows.groupBy("cid", "norm", "doi", "cut").agg(
-        F.max(F.col("batch") == 0).alias("catalogued"),
-        F.min(F.when(F.col("batch") > 0, F.col("batch"))).alias("first_batch"),
-        F.max("batch").alias("last_batch"),
-    )
-
-
-def _exact(classes: DataFrame) -> DataFrame:
-    """cid, catalogued, first_batch found by equal DOI, or by equal letters where a DOI is missing."""
-    facts = [F.max("catalogued").alias("catalogued"), F.min("first_batch").alias("first_batch")]
-    by_doi = classes.filter("doi <> ''").groupBy("doi").agg(*facts)
-    out = classes.filter("doi <> ''").select("cid", "doi").join(by_doi, "doi").drop("doi")
-    fold = F.replace("norm", F.lit(" "))
-    # 96 bits stand for the letters, so that they needn't be shuffled.
-    titled = classes.filter("norm <> ''").select("cid", F.struct(F.xxhash64(fold), F.hash(fold)).alias("fold"), (F.col("doi") == "").alias("bare"), "catalogued", "first_batch")
-    only = lambda c: F.when(F.col("bare"), F.col(c))
-    by_fold = titled.groupBy("fold").agg(*facts, F.max(only("catalogued")).alias("bare_catalogued"), F.min(only("first_batch")).alias("bare_first"))
-    pick = lambda every, bare: F.when(F.col("bare"), F.col(every)).otherwise(F.col(bare))
-    same = titled.select("cid", "fold", "bare").join(by_fold, "fold")
-    return out.unionByName(same.select("cid", pick("catalogued", "bare_catalogued").alias("catalogued"), pick("first_batch", "bare_first").alias("first_batch")))
+    """One row for rows of the same words, DOI and cut: cid, norm, cut, doi, first, last (batch)."""
+    return rows.groupBy("cid").agg(
+        *(F.first(c).alias(c) for c in ("norm", "cut", "doi")), F.min("batch").alias("first"), F.max("batch").alias("last"),
+    )
 
 
-def _tree_order(frequent: Column, tree: int) -> Column:
-    """The frequent words (as hashes) in the order of one tree: one signature permutation."""
-    return F.sort_array(F.transform(frequent, lambda w: F.xxhash64(w, F.lit(tree))))
+def vocabulary(classes: DataFrame, share: float = 0.001) -> tuple[list[str], list[str]]:
+    """Frequent words, and those of them in so many titles that they say nothing."""
+    return frequent_words(classes.filter("norm <> ''").withColumn("words", F.split("norm", " ")), "words", share)[1:]
 
 
-def _node_size(paths: DataFrame, depth: int) -> float:
-    """Mean size of the node of a title at this depth, measured over all titles of the first tree."""
-    nodes = paths.filter(F.size("path") >= depth).groupBy(F.xxhash64(F.slice("path", 1, depth)).alias("node")).agg(F.count("*").alias("n"))
-    r = nodes.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).first()
-    return r.m or 0.0
+def _path(words: Column, salt: int) -> tuple[Column, Column]:
+    """(key, rest) of a path of word hashes: the first word in the upper 28 bits, 12 bits for each further one (0: the path has ended)."""
+    bits = lambda i: F.coalesce(F.pmod(F.try_element_at(words, F.lit(i)), F.lit(4095)) + 1, F.lit(0)).cast("long")
+    lead = F.shiftleft(F.xxhash64(F.lit(salt), F.try_element_at(words, F.lit(1))), 36)
+    join = lambda first, at: sum((F.shiftleft(bits(at + i), 12 * (3 - i)) for i in range(1, 4)), first)
+    return join(lead, 1), join(F.shiftleft(bits(5), 36), 5)
 
 
-def _keys(words: DataFrame, crowded: DataFrame, depth: int, trees: int) -> DataFrame:
-    """cid, bare, key, blocks: nodes of a class: one of each hashed tree, two of trees in the title's own order (for cut ends)
-    and one led by each rare word alone, which is compared in ``blocks`` blocks.
+def permutations(classes: DataFrame, often: list[str], always: list[str], trees: int = TREES) -> DataFrame:
+    """cid, bare, first, last, kind, key, rest: all paths of every class.
 
-    A title with fewer frequent words than ``depth`` ends with its whole path.
+    Words in so many titles that they say nothing lead no path, but in titles that have no others. Titles of up to
+    three words, where a slip leaves little, are also led by their first and their last five letters.
     """
-    node = lambda t: F.when(F.size("frequent") >= 1, F.xxhash64(F.lit(t), F.slice(_tree_order(F.col("frequent"), t), 1, depth)))
-    start = lambda i: F.when(F.size("frequent") > depth + i - 1, F.xxhash64(F.lit(-i), F.slice("frequent", i, depth + 1)))
-    hashed = words.select("cid", "bare", F.explode(F.array(*(node(t) for t in range(trees)), start(1), start(2))).alias("key"))
-    led = words.select("cid", "bare", F.explode("rare").alias("word")).join(crowded, "word", "left")
-    led = led.select("cid", "bare", F.col("word").alias("key"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    return hashed.filter(F.col("key").isNotNull()).withColumn("blocks", F.lit(1)).unionByName(led)
-
+    words = F.array_distinct(F.array_remove(F.split("norm", " "), ""))
+    hashed = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
+    telling = F.filter(words, lambda w: ~w.isin(always)) if always else words
+    fold = F.replace("norm", F.lit(" "))
+    c = classes.select(
+        "cid", "first", "last", "doi", (F.col("doi") == "").alias("bare"), fold.alias("fold"), F.size(words).alias("n"),
+        hashed(F.when(F.size(telling) > 0, F.filter(telling, lambda w: w.isin(often))).otherwise(words)).alias("frequent"),
+        hashed(F.filter(telling, lambda w: ~w.isin(often))).alias("rare"),
+    )
+    entry = lambda kind, key, rest: F.struct(F.lit(kind).cast("byte").alias("kind"), key.alias("key"), rest.alias("rest"))
+    alone = lambda key: entry(ALONE, key, F.lit(0).cast("long"))
+    order = lambda t: F.sort_array(F.transform("frequent", lambda w: F.xxhash64(w, F.lit(t))))
+    own = lambda i: F.slice("frequent", i, LONGEST)
+    short = (F.col("n") <= 3) & (F.length("fold") >= 5)
+    paths = F.concat(
+        F.array(
+            F.when(F.col("doi") != "", entry(DOI, F.xxhash64("doi"), F.xxhash64(F.lit(1), "doi"))),
+            F.when(F.col("fold") != "", entry(LETTERS, F.xxhash64("fold"), F.xxhash64(F.lit(1), "fold"))),
+            F.when(short, alone(F.xxhash64(F.lit("head"), F.left("fold", F.lit(5))))),
+            F.when(short, alone(F.xxhash64(F.lit("tail"), F.right("fold", F.lit(5))))),
+            *(F.when(F.size("frequent") >= 1, entry(TREE, *_path(order(t), t))) for t in range(trees)),
+            *(F.when(F.size("frequent") > i, entry(TREE, *_path(own(i), -i))) for i in (1, 2)),
+        ),
+        F.transform("rare", alone),
+    )
+    return c.select("cid", "bare", "first", "last", F.inline(F.filter(paths, lambda p: p.isNotNull())))
 
-def _verified(keys: DataFrame, classes: DataFrame, new_keys: DataFrame | None = None) -> DataFrame:
-    """a, b, trees, equal: classes with common nodes, a without DOI, whose titles are the same, how many nodes they share, and
-    whether all their letters are equal.
 
-    With ``new_keys`` (a part of ``keys``) only pairs with one of those classes are looked at.
-    """
-    # One side of a node lies in one block each, the other in all of them.
-    own, all_ = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    bare = lambda k: k.filter("bare").select("key", own.alias("block"), F.col("cid").alias("a"))
-    any_ = lambda k: k.select("key", all_.alias("block"), F.col("cid").alias("b"), F.col("bare").alias("bare_b"))
-    meet = lambda x, y: bare(x).join(any_(y), ["key", "block"]).drop("block")
-    if new_keys is None:
-        pairs = meet(keys, keys).filter(F.when(F.col("bare_b"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
-    else:
-        pairs = meet(new_keys, keys).unionByName(meet(keys, new_keys)).filter("a <> b")
-        # Two classes without DOI meet from either side; a node counts once.
-        swap = F.col("bare_b") & (F.col("a") > F.col("b"))
-        pairs = pairs.select("key", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("trees"))
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("norm").alias(f"norm_{x}"), F.col("cut").alias(f"cut_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    letters = lambda x: F.replace(f"norm_{x}", F.lit(" "))
-    part = lambda x: (F.split(f"norm_{x}", " "), letters(x), F.col(f"cut_{x}"))
-    return both.filter(same_title(*part("a"), *part("b"))).select("a", "b", "trees", (letters("a") == letters("b")).alias("equal"))
-
-
-def _facts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """cid, catalogued, first_batch of what each side of a pair brings to the other."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.join(classes.select(F.col("cid").alias("b"), "catalogued", "first_batch"), "b").select(F.col("a").alias("cid"), "catalogued", "first_batch")
+def node(depth: int) -> Column:
+    """The node of a path: all of its key, or of a tree the first ``depth`` words, as a range of keys shifted to its start."""
+    prefix = F.shiftright("key", 12 * (4 - depth)) if depth <= 4 else F.xxhash64("key", F.shiftright("rest", 12 * (LONGEST - depth)))
+    return F.when(F.col("kind") == TREE, prefix).otherwise(F.col("key"))
 
 
-def estimated_recall(found: DataFrame) -> float:
-    """Share of the links found, from those that one tree only and two trees found (Chao's estimate of the unseen).
+def narrowed(big: DataFrame, small: DataFrame, on: str, slots: int) -> DataFrame:
+    """Rows of ``big`` whose key ``on`` may be one of ``small``'s: all that are, and few others.
 
-    Pairs with equal letters don't count: all trees find them, and so does ``_exact``.
+    ``small``'s keys are marked in a bitmap of ``slots`` bits, 2**26 at most, which as a table of 64-bit words (16 bytes with their
+    place) has a proven bound of 16 MB; it is broadcast.
     """
-    r = found.filter("NOT equal").agg(F.count("*").alias("n"), F.count_if(F.col("trees") == 1).alias("one"), F.count_if(F.col("trees") == 2).alias("two")).first()
-    return r.n / (r.n + r.one * r.one / (2.0 * max(r.two, 1))) if r.n else 1.0
-
-
-def vocabulary(classes: DataFrame, share: float = 0.001) -> tuple[DataFrame, list[str], list[str]]:
-    """(word, df), frequent words, words in so many titles that they say nothing."""
-    return frequent_words(classes.filter("norm <> ''").withColumn("words", F.split("norm", " ")), "words", share)
-
-
-def signed(classes: DataFrame, often: list[str], always: list[str]) -> DataFrame:
-    """cid, ``bare`` and the hashes of their ``frequent`` and ``rare`` words, from which all permutations of a class are made."""
-    once = F.array_distinct(F.array_remove(F.split("norm", " "), ""))
-    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    return classes.filter("norm <> ''").select(
-        "cid", (F.col("doi") == "").alias("bare"),
-        hashed(F.filter(once, lambda w: w.isin(often) & ~w.isin(always))).alias("frequent"),
-        hashed(F.filter(once, lambda w: ~w.isin(often) & (F.length(w) >= 3))).alias("rare"),
-    )
+    slot = F.pmod(F.xxhash64(on), F.lit(slots))
+    marks = small.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS INT))")).alias("bits"))
+    met = big.withColumn("word", F.shiftright(slot, 6)).join(F.broadcast(marks), "word")
+    return met.filter(F.getbit("bits", slot.bitwiseAND(63).cast("int")) == 1).drop("word", "bits")
 
 
-def _crowded(signatures: DataFrame) -> DataFrame:
-    """word, blocks: rare words (hashes) whose node is compared in several blocks."""
-    counts = signatures.select(F.explode("rare").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    words = staged(counts.filter(F.col("df") > BLOCK).select("word", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks")), "crowded")
-    return F.broadcast(words) if words.count() <= BROADCAST_WORDS else words
+def _slots(n: int) -> int:
+    return 1 << min(26, max(16, math.ceil(math.log2(16 * n + 1))))
 
 
-def links(classes: DataFrame, signatures: DataFrame, new: DataFrame | None = None, recall: float = 0.97, trees: int = TREES) -> DataFrame:
-    """a, b, trees, equal: classes with the same title, one of them without DOI; with ``new`` (a part of their signatures) only its links.
+def estimated_recall(found: DataFrame) -> float:
+    """Share of the links found, from those that one path only and two paths found (Chao's estimate of the unseen).
 
-    The prefix starts as long as nodes need to be small; while the estimated recall is below its target, links
-    are looked for again with a prefix one word shorter, down to single words.
+    Pairs with equal letters don't count: one path finds them all.
     """
-    crowded = _crowded(signatures)
-    path = signatures.select(_tree_order(F.col("frequent"), 0).alias("path"))
-
-    def at(depth: int) -> DataFrame:
-        keys = lambda s: None if s is None else _keys(s, crowded, depth, trees)
-        return staged(_verified(keys(signatures), classes, keys(new)), "links")
-
-    depth = 3
-    while depth < LONGEST and _node_size(path, depth) > NODE:
-        depth += 1
-    found = at(depth)
-    while depth > 1 and estimated_recall(found) < recall:
-        depth -= 1
-        found = at(depth)  # a shorter prefix leads to all that a longer one does
-    return found
-
-
-def _seen(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """rid, seen_in of the rows whose class meets an earlier one."""
-    own = classes.select("cid", F.lit(None).cast("boolean").alias("catalogued"), F.lit(None).cast("int").alias("first_batch"), "last_batch")
-    facts = _facts(found, classes).unionByName(_exact(classes)).unionByName(own, allowMissingColumns=True)
-    facts = facts.groupBy("cid").agg(F.max("catalogued").alias("catalogued"), F.min("first_batch").alias("first_batch"), F.max("last_batch").alias("last_batch"))
-    facts = facts.filter(F.col("catalogued") | (F.col("first_batch") < F.col("last_batch"))).drop("last_batch")
-    return (
-        salted_join(rows.filter("batch > 0").select("rid", "batch", "cid"), facts, ["cid"], ["rid"])
-        .filter(F.col("catalogued") | (F.col("first_batch") < F.col("batch")))
-        .select("rid", F.when(F.col("catalogued"), "entries").otherwise("discovery_results").alias("seen_in"))
-    )
-
-
-def seen_before(rows: DataFrame, share: float = 0.001, recall: float = 0.97, trees: int = TREES) -> DataFrame:
-    """rid, seen_in of rows with batch > 0 whose paper is in batch 0 (``entries``), else in an earlier batch (``discovery_results``).
+    r = found.filter("NOT equal").agg(F.count("*").alias("n"), F.count_if(F.col("trees") == 1).alias("one"), F.count_if(F.col("trees") == 2).alias("two")).first()
+    return r.n / (r.n + r.one * r.one / (2.0 * max(r.two, 1))) if r.n else 1.0
 
-    rows: see ``title_rows``. Same paper: equal bare DOI or, where a side has no DOI, the same title
-    (``titles.same_title``). Rows without DOI and title match nothing. Repeated rows give repeated results. A NULL
-    batch counts as none: such a row is neither new nor history. Empty tables give no rows.
-    """
-    rows = staged(rows.filter("batch IS NOT NULL"), "rows")
-    classes = staged(title_classes(rows), "classes")
-    _, often, always = vocabulary(classes, share)
-    signatures = staged(signed(classes, often, always), "signatures")
-    return _seen(rows, classes, links(classes, signatures, None, recall, trees))
 
+@dataclass
+class Run:
+    """Classes of some batches and all their paths, on disk: ``paths`` in ranges of sorted keys, ``titles`` to verify with."""
 
-def _merged(runs: DataFrame) -> DataFrame:
-    """Signed classes of several runs, each once."""
-    facts = [F.max("catalogued").alias("catalogued"), F.min("first_batch").alias("first_batch"), F.max("last_batch").alias("last_batch")]
-    return runs.groupBy("cid", "norm", "doi", "cut").agg(*facts, *(F.first(c).alias(c) for c in ("bare", "frequent", "rare")))
+    paths: str
+    titles: str
+    ranges: int
+    size: int
 
 
+@dataclass
 class Forest:
-    """History on disk, as sorted runs of classes with their signatures; new batches are checked against it and added.
+    """History on disk, as sorted runs of signature permutations; new batches are checked against it and added.
 
-    A run is what one batch (or a merge of runs) added; its rows lie in the order of their first permutation. The
-    words that signatures are made of are counted on the first run and stay, so that runs made later fit.
+    The words that paths are made of are counted on the first run and stay, so that runs made later fit.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, share: float = 0.001):
-        self.spark, self.folder, self.share = spark, folder.rstrip("/"), share
-        self.runs: list[str] = []
-        self._words: tuple[list[str], list[str]] | None = None
-
-    def _run(self, classes: DataFrame) -> None:
-        """Sign the classes and write them as the next run."""
-        if self._words is None:
-            self._words = vocabulary(classes, self.share)[1:]
-        run = f"{self.folder}/run-{len(self.runs):05d}-{uuid.uuid4().hex}"
-        ordered = classes.join(signed(classes, *self._words), "cid", "left").withColumn("path", _tree_order(F.col("frequent"), 0))
-        ordered.repartitionByRange("path", "cid").sortWithinPartitions("path", "cid").write.parquet(run)
+    spark: SparkSession
+    folder: str
+    share: float = 0.001
+    trees: int = TREES
+    recall: float = 0.97
+    runs: list[Run] = field(default_factory=list)
+    words: tuple[list[str], list[str]] | None = None
+    #: Words of a prefix, as the last check left it; None before the first.
+    depth: int | None = None
+
+    def _ranges(self, paths: DataFrame, ranges: int) -> DataFrame:
+        """Adds ``part``, the range of the key; each range is sorted."""
+        part = F.shiftrightunsigned("key", 64 - int(math.log2(ranges))).cast("int") if ranges > 1 else F.lit(0)
+        return paths.withColumn("part", part).sortWithinPartitions("part", "key", "rest")
+
+    def _write(self, classes: DataFrame, size: int) -> Run:
+        if self.words is None:
+            self.words = vocabulary(classes, self.share)
+        ranges = 1 << max(0, math.ceil(math.log2(max(1, size * (self.trees + 5) / RANGE_ROWS))))
+        paths = permutations(classes, *self.words, self.trees)
+        path = new_path(self.spark, f"{self.folder}/paths")
+        write_table(self._ranges(paths, ranges), path, ["part"])
+        return Run(path, classes._staged_at, ranges, size)
+
+    def add(self, rows: DataFrame) -> Run:
+        """Accept a batch (see ``title_rows``)."""
+        classes = staged(title_classes(rows.filter("batch IS NOT NULL")), f"{self.folder}/titles")
+        run = self._write(classes, classes.count())
         self.runs.append(run)
+        return run
+
+    def _read(self, run: Run, parts: list[int] | None = None) -> DataFrame:
+        df = self.spark.read.schema("cid long, bare boolean, first int, last int, kind byte, key long, rest long, part int").parquet(run.paths)
+        return df if parts is None or len(parts) == run.ranges else df.filter(F.col("part").isin(parts))
+
+    def touched(self, run: Run, keys: DataFrame) -> DataFrame:
+        """The ranges of a run that the keys (of one depth of four words at most: prefixes stay within a range) fall into."""
+        if run.ranges == 1:
+            return self._read(run)
+        part = F.shiftrightunsigned("key", 64 - int(math.log2(run.ranges))).cast("int")
+        return self._read(run, [r.part for r in keys.select(part.alias("part")).distinct().collect()])
+
+    def merge(self) -> None:
+        """All runs into one: a class once, with its earliest batch; ranges are merged range by range."""
+        old = self.runs
+        union = lambda tables: self.spark.read.parquet(*tables)
+        titles = staged(union([r.titles for r in old]).groupBy("cid").agg(
+            *(F.first(c).alias(c) for c in ("norm", "cut", "doi")), F.min("first").alias("first"), F.max("last").alias("last")), f"{self.folder}/titles")
+        self.runs = [self._write(titles, titles.count())]
+        discard(self.spark, *(r.paths for r in old), *(r.titles for r in old))
+
+    def check(self, rows: DataFrame) -> DataFrame:
+        """rid, seen_in of the rows of one or several new batches, as ``seen_before`` gives them; the batches are then history."""
+        new = rows.filter("batch IS NOT NULL")
+        if len(self.runs) >= RUNS:
+            self.merge()
+        run = self.add(new)
+        mine = self._read(run)
+        slots = _slots(mine.count())
+        history = [self.touched(r, mine) for r in self.runs]
+        history = history[0] if len(history) == 1 else _union(history)
+        exact = staged(self._exact(mine, history, slots), f"{self.folder}/exact")
+        # A class that is known to be in the catalogue needs no second proof.
+        open_ = mine.filter(F.col("kind") >= ALONE).join(exact.filter("first = 0").select("cid"), "cid", "left_anti")
+        open_ = staged(open_.drop("part"), f"{self.folder}/open")
+        found = self._linked(open_, history.filter(F.col("kind") >= ALONE), slots)
+        facts = exact.unionByName(found.select(F.col("a").alias("cid"), "first")).groupBy("cid").agg(F.min("first").alias("first"))
+        out = staged(
+            salted_join(new.filter("batch > 0").select("rid", "batch", "cid"), facts, ["cid"], ["rid"])
+            .filter(F.col("first") < F.col("batch"))
+            .select("rid", F.when(F.col("first") == 0, "entries").otherwise("discovery_results").alias("seen_in")),
+            f"{self.folder}/seen",
+        )
+        discard(self.spark, exact, open_, found)
+        return out
 
-    def classes(self) -> DataFrame | None:
-        """All classes of history with their signatures, each once."""
-        return _merged(self.spark.read.parquet(*self.runs)) if self.runs else None
+    def _exact(self, mine: DataFrame, history: DataFrame, slots: int) -> DataFrame:
+        """cid, first: the earliest batch with the same DOI, or the same letters where one side has no DOI."""
+        # Two classes with DOIs meet by DOI alone; the sides of a key are told apart by whether history's has one.
+        sides = lambda kind, bare: F.when(kind == DOI, F.array(F.lit(False))).when(bare, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
+        meet = lambda bare: F.xxhash64("kind", "key", "rest", bare)
+        asked = mine.filter(F.col("kind") <= LETTERS).withColumn("side", F.explode(sides(F.col("kind"), F.col("bare")))).withColumn("meet", meet("side"))
+        known = narrowed(history.filter(F.col("kind") <= LETTERS).withColumn("meet", meet("bare")), asked, "meet", slots)
+        known = known.groupBy("meet", "key", "rest").agg(F.min("first").alias("before"))
+        met = salted_join(asked.select("meet", "key", "rest", "cid", "last"), known, ["meet", "key", "rest"], ["cid"]).filter(F.col("before") < F.col("last"))
+        return met.groupBy("cid").agg(F.min("before").alias("first"))
+
+    def _linked(self, mine: DataFrame, history: DataFrame, slots: int) -> DataFrame:
+        """a (of the batch), b (of earlier ones), trees, equal, first: classes with the same title, one of them without DOI."""
+        at = self.depth or self._first_depth()
+        found = staged(self._links(mine, history, slots, at), f"{self.folder}/links")
+        while at > 1 and estimated_recall(found) < self.recall:
+            at -= 1
+            discard(self.spark, found)
+            found = staged(self._links(mine, history, slots, at), f"{self.folder}/links")  # a shorter prefix leads to all that a longer one does
+        self.depth = at
+        return found
+
+    def _first_depth(self) -> int:
+        """Prefix length at which nodes are small, by all paths of the largest run."""
+        run, total = max(self.runs, key=lambda r: r.size), sum(r.size for r in self.runs)
+        paths, depth = self._read(run).filter(F.col("kind") == TREE), 2
+        while depth < LONGEST:
+            sizes = paths.groupBy(node(depth).alias("node")).agg(F.count("*").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).first()
+            if (sizes.m or 0.0) * total / max(run.size, 1) <= NODE:
+                break
+            depth += 1
+        return depth
+
+    def _links(self, mine: DataFrame, history: DataFrame, slots: int, depth: int) -> DataFrame:
+        meet = lambda side: F.xxhash64(node(depth), side)
+        # A class with a DOI meets those of history that have none; one without meets all.
+        asked = mine.withColumn("side", F.explode(F.when(F.col("bare"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))))
+        asked = asked.select(meet("side").alias("meet"), F.col("cid").alias("a"), "last")
+        known = history.select(meet("bare").alias("meet"), F.col("cid").alias("b"), "first")
+        pairs = asked.join(narrowed(known, asked, "meet", slots), "meet").filter((F.col("first") < F.col("last")) & (F.col("a") != F.col("b")))
+        pairs = staged(pairs.groupBy("a", "b").agg(F.count("*").alias("trees"), F.min("first").alias("first")), f"{self.folder}/pairs")
+        titles = self.spark.read.parquet(*(r.titles for r in self.runs)).select("cid", "norm", "cut")
+        side = lambda x: narrowed(titles, pairs.select(F.col(x).alias("cid")), "cid", slots).dropDuplicates(["cid"]).select(
+            F.col("cid").alias(x), F.col("norm").alias(f"norm_{x}"), F.col("cut").alias(f"cut_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        letters = lambda x: F.replace(f"norm_{x}", F.lit(" "))
+        part = lambda x: (F.split(f"norm_{x}", " "), letters(x), F.col(f"cut_{x}"))
+        return both.filter(same_title(*part("a"), *part("b"))).select("a", "b", "trees", "first", (letters("a") == letters("b")).alias("equal"))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def seen_before(rows: DataFrame, share: float = 0.001, recall: float = 0.97, trees: int = TREES, together: int = TOGETHER) -> DataFrame:
+    """rid, seen_in of rows with batch > 0 whose paper is in batch 0 (``entries``), else in an earlier batch (``discovery_results``).
 
-    def add(self, rows: DataFrame) -> None:
-        """Accept a batch (see ``title_rows``)."""
-        self._run(staged(title_classes(rows.filter("batch IS NOT NULL")), "classes"))
-
-    def check(self, rows: DataFrame, recall: float = 0.97, trees: int = TREES) -> DataFrame:
-        """rid, seen_in of the rows of a new batch, as ``seen_before`` gives them; only the batch is read, and the runs' signatures."""
-        rows = staged(rows.filter("batch IS NOT NULL"), "rows")
-        fresh = staged(title_classes(rows), "classes")
-        if self._words is None:
-            self._words = vocabulary(fresh, self.share)[1:]
-        both = fresh.join(signed(fresh, *self._words), "cid", "left")
-        known = self.classes()
-        both = staged(both if known is None else _merged(both.unionByName(known)), "history")
-        signatures = both.filter("norm <> ''").select("cid", "bare", "frequent", "rare")
-        mine = None if known is None else signatures.join(fresh.select("cid"), "cid", "left_semi")
-        return _seen(rows, both, links(both, signatures, mine, recall, trees))
-
-    def merged(self, folder: str) -> Forest:
-        """The same history as one run in another folder."""
-        out = Forest(self.spark, folder, self.share)
-        out._words = self._words
-        known = self.classes()
-        if known is not None:
-            out._run(known.drop("bare", "frequent", "rare"))
-        return out
+    rows: see ``title_rows``. The catalogue is the forest's first run; the batches are checked and added in their order, small ones
+    together. Same paper: equal bare DOI or, where a side has no DOI, the same title (``titles.same_title``). Rows without DOI
+    and title match nothing. Repeated rows give repeated results. A NULL batch counts as none: such a row is neither
+    new nor history. Empty tables give no rows.
+    """
+    spark = rows.sparkSession
+    rows = staged(rows.filter("batch IS NOT NULL"), "rows", ["batch"])
+    forest = Forest(spark, "forest", share, trees, recall)
+    forest.add(rows.filter("batch = 0"))
+    sizes = sorted((r.batch, r.n) for r in rows.filter("batch > 0").groupBy("batch").agg(F.count("*").alias("n")).collect())
+    groups: list[list[int]] = []
+    size = together
+    for batch, n in sizes:
+        if size + n > together:
+            groups.append([])
+            size = 0
+        groups[-1].append(batch)
+        size += n
+    seen = [forest.check(rows.filter(F.col("batch").isin(g))) for g in groups]
+    return _union(seen) if seen else spark.createDataFrame([], "rid long, seen_in string")
