@@ -11,8 +11,12 @@ target, prefixes are made a word shorter and the batch is looked up again. Candi
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +32,9 @@ NODE = 6.0
 #: Rows of a range of a sorted run.
 RANGE_ROWS = 2_000_000
 #: Runs of one history, from which on they are merged.
-RUNS = 4
+RUNS = 8
 #: Batches are taken together until they have so many rows, so that small ones don't cost a job each.
-TOGETHER = 50_000
+TOGETHER = 100_000
 #: Words of a path: the first has 28 bits of the key, three more 12 bits each, four more lie in ``rest``.
 LONGEST = 8
 #: Kinds of permutations: what is compared is the whole key, but for TREE, whose nodes are prefixes.
@@ -58,12 +62,48 @@ def vocabulary(classes: DataFrame, share: float = 0.001) -> tuple[list[str], lis
     return frequent_words(classes.filter("norm <> ''").withColumn("words", F.split("norm", " ")), "words", share)[1:]
 
 
-def _path(words: Column, salt: int) -> tuple[Column, Column]:
-    """(key, rest) of a path of word hashes: the first word in the upper 28 bits, 12 bits for each further one (0: the path has ended)."""
-    bits = lambda i: F.coalesce(F.pmod(F.try_element_at(words, F.lit(i)), F.lit(4095)) + 1, F.lit(0)).cast("long")
-    lead = F.shiftleft(F.xxhash64(F.lit(salt), F.try_element_at(words, F.lit(1))), 36)
-    join = lambda first, at: sum((F.shiftleft(bits(at + i), 12 * (3 - i)) for i in range(1, 4)), first)
-    return join(lead, 1), join(F.shiftleft(bits(5), 36), 5)
+def _mixed(values: np.ndarray, salt: int) -> np.ndarray:
+    """The word hashes in another order for each salt (the finaliser of splitmix64, a bijection)."""
+    x = values.view(np.uint64) ^ np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _packed(words: np.ndarray, row: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, rest) of each row's path: 28 bits of the word at place 0, 12 bits of each further one (0: the path has ended)."""
+    key, rest = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for p in range(LONGEST):
+        at = np.flatnonzero(place == p)
+        bits, target = (words[at] if p == 0 else words[at] % np.uint64(4095) + np.uint64(1)), key if p < 4 else rest
+        target[row[at]] |= bits << np.uint64(36 if p == 0 else 12 * (3 - p % 4))
+    return key.view(np.int64), rest.view(np.int64)
+
+
+def _tree_paths(trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Paths of kind TREE for batches of cid, bare, first, last, frequent: each hashed order, and the own order from the first and second word on.
+
+    As column expressions, the orders and their packing take Spark five times as long.
+    """
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("frequent")
+            values, sizes = words.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            parts = []
+            for t in range(trees):
+                h = _mixed(values, t)
+                parts.append((_packed(h[np.lexsort((h, row))], row, place, len(sizes)), np.flatnonzero(sizes > 0)))
+            for i in (1, 2):
+                h, tail = _mixed(values, -i), place >= i - 1
+                parts.append((_packed(h[tail], row[tail], place[tail] - (i - 1), len(sizes)), np.flatnonzero(sizes >= i)))
+            for (key, rest), some in parts:
+                own = [batch.column(c).take(pa.array(some)) for c in ("cid", "bare", "first", "last")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(some), TREE, np.int8)), pa.array(key[some]), pa.array(rest[some])], names=["cid", "bare", "first", "last", "kind", "key", "rest"])
+
+    return paths
 
 
 def permutations(classes: DataFrame, often: list[str], always: list[str], trees: int = TREES) -> DataFrame:
@@ -75,29 +115,22 @@ def permutations(classes: DataFrame, often: list[str], always: list[str], trees:
     words = F.array_distinct(F.array_remove(F.split("norm", " "), ""))
     hashed = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
     telling = F.filter(words, lambda w: ~w.isin(always)) if always else words
-    fold = F.replace("norm", F.lit(" "))
-    c = classes.select(
-        "cid", "first", "last", "doi", (F.col("doi") == "").alias("bare"), fold.alias("fold"), F.size(words).alias("n"),
-        hashed(F.when(F.size(telling) > 0, F.filter(telling, lambda w: w.isin(often))).otherwise(words)).alias("frequent"),
-        hashed(F.filter(telling, lambda w: ~w.isin(often))).alias("rare"),
-    )
+    own, fold = [F.col("cid"), (F.col("doi") == "").alias("bare"), F.col("first"), F.col("last")], F.replace("norm", F.lit(" "))
+    frequent = F.when(F.size(telling) > 0, F.filter(telling, lambda w: w.isin(often))).otherwise(words)
+    sorted_ = classes.select(*own, hashed(frequent).alias("frequent")).mapInArrow(_tree_paths(trees), "cid long, bare boolean, first int, last int, kind byte, key long, rest long")
     entry = lambda kind, key, rest: F.struct(F.lit(kind).cast("byte").alias("kind"), key.alias("key"), rest.alias("rest"))
     alone = lambda key: entry(ALONE, key, F.lit(0).cast("long"))
-    order = lambda t: F.sort_array(F.transform("frequent", lambda w: F.xxhash64(w, F.lit(t))))
-    own = lambda i: F.slice("frequent", i, LONGEST)
-    short = (F.col("n") <= 3) & (F.length("fold") >= 5)
-    paths = F.concat(
-        F.array(
-            F.when(F.col("doi") != "", entry(DOI, F.xxhash64("doi"), F.xxhash64(F.lit(1), "doi"))),
-            F.when(F.col("fold") != "", entry(LETTERS, F.xxhash64("fold"), F.xxhash64(F.lit(1), "fold"))),
-            F.when(short, alone(F.xxhash64(F.lit("head"), F.left("fold", F.lit(5))))),
-            F.when(short, alone(F.xxhash64(F.lit("tail"), F.right("fold", F.lit(5))))),
-            *(F.when(F.size("frequent") >= 1, entry(TREE, *_path(order(t), t))) for t in range(trees)),
-            *(F.when(F.size("frequent") > i, entry(TREE, *_path(own(i), -i))) for i in (1, 2)),
-        ),
-        F.transform("rare", alone),
+    rare = F.transform(hashed(F.filter(telling, lambda w: ~w.isin(often))), alone)
+    c = classes.select(*own, "doi", fold.alias("fold"), rare.alias("rare"), (F.size(words) <= 3).alias("short"))
+    fold, short = F.col("fold"), F.col("short") & (F.length("fold") >= 5)
+    single = F.array(
+        F.when(F.col("doi") != "", entry(DOI, F.xxhash64("doi"), F.xxhash64(F.lit(1), "doi"))),
+        F.when(fold != "", entry(LETTERS, F.xxhash64(fold), F.xxhash64(F.lit(1), fold))),
+        F.when(short, alone(F.xxhash64(F.lit("head"), F.left(fold, F.lit(5))))),
+        F.when(short, alone(F.xxhash64(F.lit("tail"), F.right(fold, F.lit(5))))),
     )
-    return c.select("cid", "bare", "first", "last", F.inline(F.filter(paths, lambda p: p.isNotNull())))
+    # ``inline_outer``, since Spark works ``inline``'s array out a second time to see whether it is empty.
+    return c.select("cid", "bare", "first", "last", F.inline_outer(F.concat(single, "rare"))).filter("kind IS NOT NULL").unionByName(sorted_)
 
 
 def node(depth: int) -> Column:
@@ -159,9 +192,9 @@ class Forest:
     depth: int | None = None
 
     def _ranges(self, paths: DataFrame, ranges: int) -> DataFrame:
-        """Adds ``part``, the range of the key; each range is sorted."""
+        """Adds ``exact`` (what meets whole or not at all lies apart) and ``part``, the range of the key; each range is sorted."""
         part = F.shiftrightunsigned("key", 64 - int(math.log2(ranges))).cast("int") if ranges > 1 else F.lit(0)
-        return paths.withColumn("part", part).sortWithinPartitions("part", "key", "rest")
+        return paths.withColumns({"exact": F.col("kind") <= LETTERS, "part": part}).sortWithinPartitions("exact", "part", "key", "rest")
 
     def _write(self, classes: DataFrame, size: int) -> Run:
         if self.words is None:
@@ -169,7 +202,7 @@ class Forest:
         ranges = 1 << max(0, math.ceil(math.log2(max(1, size * (self.trees + 5) / RANGE_ROWS))))
         paths = permutations(classes, *self.words, self.trees)
         path = new_path(self.spark, f"{self.folder}/paths")
-        write_table(self._ranges(paths, ranges), path, ["part"])
+        write_table(self._ranges(paths, ranges), path, ["exact", "part"])
         return Run(path, classes._staged_at, ranges, size)
 
     def add(self, rows: DataFrame) -> Run:
@@ -180,7 +213,7 @@ class Forest:
         return run
 
     def _read(self, run: Run, parts: list[int] | None = None) -> DataFrame:
-        df = self.spark.read.schema("cid long, bare boolean, first int, last int, kind byte, key long, rest long, part int").parquet(run.paths)
+        df = self.spark.read.schema("cid long, bare boolean, first int, last int, kind byte, key long, rest long, exact boolean, part int").parquet(run.paths)
         return df if parts is None or len(parts) == run.ranges else df.filter(F.col("part").isin(parts))
 
     def touched(self, run: Run, keys: DataFrame) -> DataFrame:
@@ -211,9 +244,9 @@ class Forest:
         history = history[0] if len(history) == 1 else _union(history)
         exact = staged(self._exact(mine, history, slots), f"{self.folder}/exact")
         # A class that is known to be in the catalogue needs no second proof.
-        open_ = mine.filter(F.col("kind") >= ALONE).join(exact.filter("first = 0").select("cid"), "cid", "left_anti")
-        open_ = staged(open_.drop("part"), f"{self.folder}/open")
-        found = self._linked(open_, history.filter(F.col("kind") >= ALONE), slots)
+        open_ = mine.filter("NOT exact").join(exact.filter("first = 0").select("cid"), "cid", "left_anti")
+        open_ = staged(open_.drop("exact", "part"), f"{self.folder}/open")
+        found = self._linked(open_, history.filter("NOT exact"), slots, run)
         facts = exact.unionByName(found.select(F.col("a").alias("cid"), "first")).groupBy("cid").agg(F.min("first").alias("first"))
         out = staged(
             salted_join(new.filter("batch > 0").select("rid", "batch", "cid"), facts, ["cid"], ["rid"])
@@ -229,35 +262,37 @@ class Forest:
         # Two classes with DOIs meet by DOI alone; the sides of a key are told apart by whether history's has one.
         sides = lambda kind, bare: F.when(kind == DOI, F.array(F.lit(False))).when(bare, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
         meet = lambda bare: F.xxhash64("kind", "key", "rest", bare)
-        asked = mine.filter(F.col("kind") <= LETTERS).withColumn("side", F.explode(sides(F.col("kind"), F.col("bare")))).withColumn("meet", meet("side"))
-        known = narrowed(history.filter(F.col("kind") <= LETTERS).withColumn("meet", meet("bare")), asked, "meet", slots)
+        asked = mine.filter("exact").withColumn("side", F.explode(sides(F.col("kind"), F.col("bare")))).withColumn("meet", meet("side"))
+        known = narrowed(history.filter("exact").withColumn("meet", meet("bare")), asked, "meet", slots)
         known = known.groupBy("meet", "key", "rest").agg(F.min("first").alias("before"))
         met = salted_join(asked.select("meet", "key", "rest", "cid", "last"), known, ["meet", "key", "rest"], ["cid"]).filter(F.col("before") < F.col("last"))
         return met.groupBy("cid").agg(F.min("before").alias("first"))
 
-    def _linked(self, mine: DataFrame, history: DataFrame, slots: int) -> DataFrame:
+    def _linked(self, mine: DataFrame, history: DataFrame, slots: int, run: Run) -> DataFrame:
         """a (of the batch), b (of earlier ones), trees, equal, first: classes with the same title, one of them without DOI."""
         at = self.depth or self._first_depth()
-        found = staged(self._links(mine, history, slots, at), f"{self.folder}/links")
+        found = staged(self._links(mine, history, slots, run, at), f"{self.folder}/links")
         while at > 1 and estimated_recall(found) < self.recall:
             at -= 1
             discard(self.spark, found)
-            found = staged(self._links(mine, history, slots, at), f"{self.folder}/links")  # a shorter prefix leads to all that a longer one does
+            found = staged(self._links(mine, history, slots, run, at), f"{self.folder}/links")  # a shorter prefix leads to all that a longer one does
         self.depth = at
         return found
 
     def _first_depth(self) -> int:
         """Prefix length at which nodes are small, by all paths of the largest run."""
         run, total = max(self.runs, key=lambda r: r.size), sum(r.size for r in self.runs)
-        paths, depth = self._read(run).filter(F.col("kind") == TREE), 2
+        paths, depth = self._read(run).filter(~F.col("exact") & (F.col("kind") == TREE)), 2
+        nodes = staged(paths.groupBy("key", "rest").agg(F.count("*").alias("n")).withColumn("kind", F.lit(TREE)), f"{self.folder}/nodes")
         while depth < LONGEST:
-            sizes = paths.groupBy(node(depth).alias("node")).agg(F.count("*").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).first()
+            sizes = nodes.groupBy(node(depth).alias("node")).agg(F.sum("n").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).first()
             if (sizes.m or 0.0) * total / max(run.size, 1) <= NODE:
                 break
             depth += 1
+        discard(self.spark, nodes)
         return depth
 
-    def _links(self, mine: DataFrame, history: DataFrame, slots: int, depth: int) -> DataFrame:
+    def _links(self, mine: DataFrame, history: DataFrame, slots: int, run: Run, depth: int) -> DataFrame:
         meet = lambda side: F.xxhash64(node(depth), side)
         # A class with a DOI meets those of history that have none; one without meets all.
         asked = mine.withColumn("side", F.explode(F.when(F.col("bare"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))))
@@ -265,10 +300,9 @@ class Forest:
         known = history.select(meet("bare").alias("meet"), F.col("cid").alias("b"), "first")
         pairs = asked.join(narrowed(known, asked, "meet", slots), "meet").filter((F.col("first") < F.col("last")) & (F.col("a") != F.col("b")))
         pairs = staged(pairs.groupBy("a", "b").agg(F.count("*").alias("trees"), F.min("first").alias("first")), f"{self.folder}/pairs")
-        titles = self.spark.read.parquet(*(r.titles for r in self.runs)).select("cid", "norm", "cut")
-        side = lambda x: narrowed(titles, pairs.select(F.col(x).alias("cid")), "cid", slots).dropDuplicates(["cid"]).select(
-            F.col("cid").alias(x), F.col("norm").alias(f"norm_{x}"), F.col("cut").alias(f"cut_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        side = lambda titles, x: titles.select(F.col("cid").alias(x), F.col("norm").alias(f"norm_{x}"), F.col("cut").alias(f"cut_{x}"))
+        titles = narrowed(self.spark.read.parquet(*(r.titles for r in self.runs)), pairs.select(F.col("b").alias("cid")), "cid", slots).dropDuplicates(["cid"])
+        both = pairs.join(side(self.spark.read.parquet(run.titles), "a"), "a").join(side(titles, "b"), "b")
         letters = lambda x: F.replace(f"norm_{x}", F.lit(" "))
         part = lambda x: (F.split(f"norm_{x}", " "), letters(x), F.col(f"cut_{x}"))
         return both.filter(same_title(*part("a"), *part("b"))).select("a", "b", "trees", "first", (letters("a") == letters("b")).alias("equal"))
