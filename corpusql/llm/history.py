@@ -28,7 +28,7 @@ from corpusql.session import discard, new_path, staged, write_table
 #: Hashed orders of the frequent words.
 TREES = 8
 #: Mean number of titles in a title's node, up to which the prefix is short enough to begin with.
-NODE = 6.0
+NODE = 3.0
 #: Rows of a range of a sorted run.
 RANGE_ROWS = 2_000_000
 #: Runs of one history, from which on they are merged.
@@ -37,8 +37,8 @@ RUNS = 8
 TOGETHER = 100_000
 #: Words of a path: the first has 28 bits of the key, three more 12 bits each, four more lie in ``rest``.
 LONGEST = 8
-#: Kinds of permutations: what is compared is the whole key, but for TREE, whose nodes are prefixes.
-DOI, LETTERS, ALONE, TREE = 0, 1, 2, 3
+#: Kinds of permutations: what is compared is the whole key, but for TREE and HALF, whose nodes are prefixes.
+DOI, LETTERS, ALONE, TREE, HALF = 0, 1, 2, 3, 4
 
 
 def title_rows(df: DataFrame, rid: Column, batch: Column) -> DataFrame:
@@ -71,7 +71,7 @@ def _mixed(values: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _packed(words: np.ndarray, row: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, rest) of each row's path: 28 bits of the word at place 0, 12 bits of each further one (0: the path has ended)."""
+    """(key, rest) of each row's path: 28 bits of the word at place 0, 12 bits of each further one (0: none, or the path has ended)."""
     key, rest = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for p in range(LONGEST):
         at = np.flatnonzero(place == p)
@@ -80,28 +80,48 @@ def _packed(words: np.ndarray, row: np.ndarray, place: np.ndarray, n: int) -> tu
     return key.view(np.int64), rest.view(np.int64)
 
 
-def _tree_paths(trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Paths of kind TREE for batches of cid, bare, first, last, frequent: each hashed order, and the own order from the first and second word on.
+def _all_paths(trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """cid, bare, first, last, kind, key, rest of all paths, for batches with the hashes that paths are made of (see ``permutations``).
 
     As column expressions, the orders and their packing take Spark five times as long.
     """
 
+    def flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values, the row of each, and the number of values a row."""
+        lists = batch.column(column)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes), sizes
+
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column("frequent")
-            values, sizes = words.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
+            n = batch.num_rows
+            long = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            values, row, sizes = flat(batch, "words")
             place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            parts = []
+            # Frequent words come first in every path; rare ones, which tell much but stand alone, follow where those have ended.
+            late = place >= long("frequent").astype(np.int64)[row]
+            zeros = np.zeros(n, np.int64)
+            parts = [(DOI, long("doi1"), long("doi2"), np.flatnonzero(long("has_doi"))), (LETTERS, long("fold1"), long("fold2"), np.flatnonzero(long("has_letters")))]
+            alone, of, _ = flat(batch, "alone")
+            parts.append((ALONE, alone, np.zeros(len(alone), np.int64), of))
             for t in range(trees):
                 h = _mixed(values, t)
-                parts.append((_packed(h[np.lexsort((h, row))], row, place, len(sizes)), np.flatnonzero(sizes > 0)))
+                order = np.lexsort((h, late, row))
+                key, rest = _packed(h[order], row, place, n)
+                parts.append((TREE, key, rest, np.flatnonzero(sizes > 0)))
+                if t == 0:
+                    # After half a rare word come the frequent words in the same order, one place later.
+                    after, rest_after = _packed(h[order][~late], row[~late], place[~late] + 1, n)
             for i in (1, 2):
                 h, tail = _mixed(values, -i), place >= i - 1
-                parts.append((_packed(h[tail], row[tail], place[tail] - (i - 1), len(sizes)), np.flatnonzero(sizes >= i)))
-            for (key, rest), some in parts:
+                parts.append((TREE, *_packed(h[tail], row[tail], place[tail] - (i - 1), n), np.flatnonzero(sizes >= i)))
+            halves, of, _ = flat(batch, "halves")
+            parts.append((HALF, (halves << 36) | after[of], rest_after[of], of))
+            for kind, key, rest, some in parts:
+                if kind not in (ALONE, HALF):
+                    key, rest = key[some], rest[some]
                 own = [batch.column(c).take(pa.array(some)) for c in ("cid", "bare", "first", "last")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(some), TREE, np.int8)), pa.array(key[some]), pa.array(rest[some])], names=["cid", "bare", "first", "last", "kind", "key", "rest"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(some), kind, np.int8)), pa.array(key), pa.array(rest)], names=["cid", "bare", "first", "last", "kind", "key", "rest"])
 
     return paths
 
@@ -109,34 +129,32 @@ def _tree_paths(trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def permutations(classes: DataFrame, often: list[str], always: list[str], trees: int = TREES) -> DataFrame:
     """cid, bare, first, last, kind, key, rest: all paths of every class.
 
-    Words in so many titles that they say nothing lead no path, but in titles that have no others. Titles of up to
-    three words, where a slip leaves little, are also led by their first and their last five letters.
+    Words in so many titles that they say nothing lead no path, but in titles that have no others. Half a rare word (four
+    letters at either end) leads a path of frequent words too, since a slip leaves one half as it is.
     """
-    words = F.array_distinct(F.array_remove(F.split("norm", " "), ""))
     hashed = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
-    telling = F.filter(words, lambda w: ~w.isin(always)) if always else words
-    own, fold = [F.col("cid"), (F.col("doi") == "").alias("bare"), F.col("first"), F.col("last")], F.replace("norm", F.lit(" "))
-    frequent = F.when(F.size(telling) > 0, F.filter(telling, lambda w: w.isin(often))).otherwise(words)
-    sorted_ = classes.select(*own, hashed(frequent).alias("frequent")).mapInArrow(_tree_paths(trees), "cid long, bare boolean, first int, last int, kind byte, key long, rest long")
-    entry = lambda kind, key, rest: F.struct(F.lit(kind).cast("byte").alias("kind"), key.alias("key"), rest.alias("rest"))
-    alone = lambda key: entry(ALONE, key, F.lit(0).cast("long"))
-    rare = F.transform(hashed(F.filter(telling, lambda w: ~w.isin(often))), alone)
-    c = classes.select(*own, "doi", fold.alias("fold"), rare.alias("rare"), (F.size(words) <= 3).alias("short"))
-    fold, short = F.col("fold"), F.col("short") & (F.length("fold") >= 5)
-    single = F.array(
-        F.when(F.col("doi") != "", entry(DOI, F.xxhash64("doi"), F.xxhash64(F.lit(1), "doi"))),
-        F.when(fold != "", entry(LETTERS, F.xxhash64(fold), F.xxhash64(F.lit(1), fold))),
-        F.when(short, alone(F.xxhash64(F.lit("head"), F.left(fold, F.lit(5))))),
-        F.when(short, alone(F.xxhash64(F.lit("tail"), F.right(fold, F.lit(5))))),
-    )
-    # ``inline_outer``, since Spark works ``inline``'s array out a second time to see whether it is empty.
-    return c.select("cid", "bare", "first", "last", F.inline_outer(F.concat(single, "rare"))).filter("kind IS NOT NULL").unionByName(sorted_)
+    c = classes.select("*", F.replace("norm", F.lit(" ")).alias("fold"), F.array_distinct(F.array_remove(F.split("norm", " "), "")).alias("all"))
+    c = c.withColumn("telling", F.filter("all", lambda w: ~w.isin(always)) if always else F.col("all"))
+    c = c.withColumns({"often": F.filter("telling", lambda w: w.isin(often)), "rare": F.filter("telling", lambda w: ~w.isin(often))})
+    long_ = F.filter("rare", lambda w: F.length(w) >= 6)
+    half = lambda part, end: F.transform(long_, lambda w: F.xxhash64(F.lit(end), part(w, F.lit(4))))
+    c = c.select(
+        "cid", (F.col("doi") == "").alias("bare"), "first", "last", F.xxhash64("doi").alias("doi1"), F.xxhash64(F.lit(1), "doi").alias("doi2"), (F.col("doi") != "").alias("has_doi"),
+        F.xxhash64("fold").alias("fold1"), F.xxhash64(F.lit(1), "fold").alias("fold2"), (F.col("fold") != "").alias("has_letters"),
+        F.when(F.size("telling") > 0, F.size("often")).otherwise(F.size("all")).alias("frequent"),
+        hashed(F.when(F.size("telling") > 0, F.concat("often", "rare")).otherwise(F.col("all"))).alias("words"),
+        hashed("rare").alias("alone"), F.concat(half(F.left, "head"), half(F.right, "tail")).alias("halves"),
+    )
+    return c.mapInArrow(_all_paths(trees), "cid long, bare boolean, first int, last int, kind byte, key long, rest long")
 
 
 def node(depth: int) -> Column:
-    """The node of a path: all of its key, or of a tree the first ``depth`` words, as a range of keys shifted to its start."""
-    prefix = F.shiftright("key", 12 * (4 - depth)) if depth <= 4 else F.xxhash64("key", F.shiftright("rest", 12 * (LONGEST - depth)))
-    return F.when(F.col("kind") == TREE, prefix).otherwise(F.col("key"))
+    """The node of a path: all of its key or, of a tree, the first ``depth`` words (two less where half a word leads), a range of keys."""
+
+    def prefix(n: int) -> Column:
+        return F.shiftright("key", 12 * (4 - n)) if n <= 4 else F.xxhash64("key", F.shiftright("rest", 12 * (LONGEST - n)))
+
+    return F.when(F.col("kind") == TREE, prefix(depth)).when(F.col("kind") == HALF, prefix(max(1, depth - 2))).otherwise(F.col("key"))
 
 
 def narrowed(big: DataFrame, small: DataFrame, on: str, slots: int) -> DataFrame:
@@ -185,7 +203,7 @@ class Forest:
     folder: str
     share: float = 0.001
     trees: int = TREES
-    recall: float = 0.97
+    recall: float = 0.98
     runs: list[Run] = field(default_factory=list)
     words: tuple[list[str], list[str]] | None = None
     #: Words of a prefix, as the last check left it; None before the first.
@@ -282,7 +300,7 @@ class Forest:
     def _first_depth(self) -> int:
         """Prefix length at which nodes are small, by all paths of the largest run."""
         run, total = max(self.runs, key=lambda r: r.size), sum(r.size for r in self.runs)
-        paths, depth = self._read(run).filter(~F.col("exact") & (F.col("kind") == TREE)), 2
+        paths, depth = self._read(run).filter(~F.col("exact") & (F.col("kind") == TREE)), 3
         nodes = staged(paths.groupBy("key", "rest").agg(F.count("*").alias("n")).withColumn("kind", F.lit(TREE)), f"{self.folder}/nodes")
         while depth < LONGEST:
             sizes = nodes.groupBy(node(depth).alias("node")).agg(F.sum("n").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).first()
@@ -315,7 +333,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def seen_before(rows: DataFrame, share: float = 0.001, recall: float = 0.97, trees: int = TREES, together: int = TOGETHER) -> DataFrame:
+def seen_before(rows: DataFrame, share: float = 0.001, recall: float = 0.98, trees: int = TREES, together: int = TOGETHER) -> DataFrame:
     """rid, seen_in of rows with batch > 0 whose paper is in batch 0 (``entries``), else in an earlier batch (``discovery_results``).
 
     rows: see ``title_rows``. The catalogue is the forest's first run; the batches are checked and added in their order, small ones
