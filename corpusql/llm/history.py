@@ -26,7 +26,7 @@ from corpusql.operators.skew import salted_join
 from corpusql.session import discard, new_path, staged, write_table
 
 #: Hashed orders of the frequent words.
-TREES = 8
+TREES = 6
 #: Mean number of titles in a title's node, up to which the prefix is short enough to begin with.
 NODE = 3.0
 #: Rows of a range of a sorted run.
@@ -37,8 +37,8 @@ RUNS = 8
 TOGETHER = 100_000
 #: Words of a path: the first has 28 bits of the key, three more 12 bits each, four more lie in ``rest``.
 LONGEST = 8
-#: Kinds of permutations: what is compared is the whole key, but for TREE and HALF, whose nodes are prefixes.
-DOI, LETTERS, ALONE, TREE, HALF = 0, 1, 2, 3, 4
+#: Kinds of permutations: what is compared is the whole key, but for HALF and TREE (and on: one kind a tree), whose nodes are prefixes.
+DOI, LETTERS, ALONE, HALF, TREE = 0, 1, 2, 3, 4
 
 
 def title_rows(df: DataFrame, rid: Column, batch: Column) -> DataFrame:
@@ -108,13 +108,13 @@ def _all_paths(trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 h = _mixed(values, t)
                 order = np.lexsort((h, late, row))
                 key, rest = _packed(h[order], row, place, n)
-                parts.append((TREE, key, rest, np.flatnonzero(sizes > 0)))
+                parts.append((TREE + t, key, rest, np.flatnonzero(sizes > 0)))
                 if t == 0:
                     # After half a rare word come the frequent words in the same order, one place later.
                     after, rest_after = _packed(h[order][~late], row[~late], place[~late] + 1, n)
             for i in (1, 2):
                 h, tail = _mixed(values, -i), place >= i - 1
-                parts.append((TREE, *_packed(h[tail], row[tail], place[tail] - (i - 1), n), np.flatnonzero(sizes >= i)))
+                parts.append((TREE + trees + i, *_packed(h[tail], row[tail], place[tail] - (i - 1), n), np.flatnonzero(sizes >= i)))
             halves, of, _ = flat(batch, "halves")
             parts.append((HALF, (halves << 36) | after[of], rest_after[of], of))
             for kind, key, rest, some in parts:
@@ -154,7 +154,7 @@ def node(depth: int) -> Column:
     def prefix(n: int) -> Column:
         return F.shiftright("key", 12 * (4 - n)) if n <= 4 else F.xxhash64("key", F.shiftright("rest", 12 * (LONGEST - n)))
 
-    return F.when(F.col("kind") == TREE, prefix(depth)).when(F.col("kind") == HALF, prefix(max(1, depth - 2))).otherwise(F.col("key"))
+    return F.when(F.col("kind") >= TREE, prefix(depth)).when(F.col("kind") == HALF, prefix(max(1, depth - 2))).otherwise(F.col("key"))
 
 
 def narrowed(big: DataFrame, small: DataFrame, on: str, slots: int) -> DataFrame:
@@ -203,7 +203,7 @@ class Forest:
     folder: str
     share: float = 0.001
     trees: int = TREES
-    recall: float = 0.98
+    recall: float = 0.97
     runs: list[Run] = field(default_factory=list)
     words: tuple[list[str], list[str]] | None = None
     #: Words of a prefix, as the last check left it; None before the first.
@@ -298,7 +298,7 @@ class Forest:
         return found
 
     def _first_depth(self) -> int:
-        """Prefix length at which nodes are small, by all paths of the largest run."""
+        """Prefix length at which nodes are small, by all paths of the first tree in the largest run."""
         run, total = max(self.runs, key=lambda r: r.size), sum(r.size for r in self.runs)
         paths, depth = self._read(run).filter(~F.col("exact") & (F.col("kind") == TREE)), 3
         nodes = staged(paths.groupBy("key", "rest").agg(F.count("*").alias("n")).withColumn("kind", F.lit(TREE)), f"{self.folder}/nodes")
@@ -333,7 +333,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def seen_before(rows: DataFrame, share: float = 0.001, recall: float = 0.98, trees: int = TREES, together: int = TOGETHER) -> DataFrame:
+def seen_before(rows: DataFrame, share: float = 0.001, recall: float = 0.97, trees: int = TREES, together: int = TOGETHER) -> DataFrame:
     """rid, seen_in of rows with batch > 0 whose paper is in batch 0 (``entries``), else in an earlier batch (``discovery_results``).
 
     rows: see ``title_rows``. The catalogue is the forest's first run; the batches are checked and added in their order, small ones

@@ -17,7 +17,8 @@ EDITION_ENDS = [w for w in EDITION_WORDS if w not in ("correction", "corrections
 
 def cut_end(title: Column) -> Column:
     """The title ends with an ellipsis (so its end may be missing)."""
-    return F.coalesce(F.rtrim(title).rlike(r"(\.\.\.|…)[\s\p{Z}\"'”’)*}\]]*(</\w+>)?$"), F.lit(False))
+    dots = F.contains(title, F.lit("...")) | F.contains(title, F.lit("…"))
+    return F.coalesce(dots & F.rtrim(title).rlike(r"(\.\.\.|…)[\s\p{Z}\"'”’)*}\]]*(</\w+>)?$"), F.lit(False))
 
 
 def _tolerance(w: Column) -> Column:
