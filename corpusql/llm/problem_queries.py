@@ -77,9 +77,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_matches(spark: SparkSession, d: str) -> DataFrame:
-    """rec_id, arrival, confidence of library records and discovery rows that describe the same paper."""
+    """rec_id, arrival, confidence, assigned (one-to-one, else a further row of the work) of library records and discovery rows that describe the same paper."""
     left, right = matching.library_rows(table(spark, d, "library_records")), matching.discovery_rows(table(spark, d, "discovery_results"))
-    return matching.match_records(left, right).select(F.col("a").alias("rec_id"), F.col("b").alias("arrival"), "confidence")
+    return matching.match_records(left, right).select(F.col("a").alias("rec_id"), F.col("b").alias("arrival"), "confidence", "assigned")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
