@@ -28,6 +28,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(rows, with_value=False).select("src", "grp", "field", "pick").distinct()
 
 
+def _p4_rows(spark: SparkSession, d: str) -> DataFrame:
+    found = survivors.discovery_values(table(spark, d, "discovery_results"), table(spark, d, "source_trust"))
+    return found.unionByName(survivors.repair_values(table(spark, d, "repair_actions")))
+
+
+def p4_latest(spark: SparkSession, d: str) -> DataFrame:
+    """src, grp, field, pick: the row whose value survives if all times and ranks are missing, by the learned precedences."""
+    return survivors.undated_survivors(_p4_rows(spark, d)).select("src", "grp", "field", "pick")
+
+
 def p4_currency(spark: SparkSession, d: str) -> DataFrame:
     """Learned order of values: field, before, after and how often the one follows the other in a group."""
     rows = survivors.discovery_values(table(spark, d, "discovery_results"), table(spark, d, "source_trust")).unionByName(
@@ -136,6 +146,10 @@ _VALUES = f"""d AS (SELECT arrival, {_DOI} AS grp, -trust AS t, {_YEAR("year")}
       UNION ALL SELECT 'repair_actions', paper_id, field, CASE WHEN field = 'year' THEN {_YEAR("proposed_value")} ELSE {_USABLE("proposed_value")} END,
         CASE lower(trim(confidence, ' ')) WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END, epoch_us(proposed_at), action_id FROM repair_actions)"""
 
+_CLASSES = r"""c AS (SELECT src, grp, field, ts, id, CASE field WHEN 'year' THEN value WHEN 'venue' THEN regexp_replace(lower(value), '[^\p{L}\p{N}]+', '', 'g')
+        ELSE CASE WHEN regexp_matches(value, '(\.\.\.|…)\s*$') THEN 'cut ' ELSE '' END || 'size ' || floor(log2(length(value) + 1))::INT END AS cls FROM r WHERE grp IS NOT NULL AND value IS NOT NULL),
+      l AS (SELECT field, lag(cls) OVER (PARTITION BY src, grp, field ORDER BY ts, id) AS before, cls AS after FROM c)"""
+
 SQL: dict[str, str] = {
     "p3_found": f"WITH {_COPIES} SELECT keep_id, id AS copy_id FROM c WHERE id <> keep_id",
     "p3_records": f"WITH {_COPIES} SELECT keep_id AS id, max(n) AS n_copies FROM c GROUP BY keep_id",
@@ -144,8 +158,12 @@ SQL: dict[str, str] = {
     "p4_records": f"""WITH {_VALUES}, p AS (SELECT grp, field, arg_max(value, struct_pack(a := coalesce(trust, -1073741824), b := ts)) AS value, count(*) AS n FROM r
       WHERE src = 'discovery_results' AND grp IS NOT NULL GROUP BY grp, field)
       SELECT grp AS doi, max(value) FILTER (field = 'year') AS year, max(value) FILTER (field = 'venue') AS venue, max(value) FILTER (field = 'abstract') AS abstract, max(n) AS n_rows FROM p GROUP BY grp""",
-    "p4_currency": rf"""WITH {_VALUES}, c AS (SELECT src, grp, field, ts, id, CASE field WHEN 'year' THEN value WHEN 'venue' THEN regexp_replace(lower(value), '[^\p{{L}}\p{{N}}]+', '', 'g')
-        ELSE 'size ' || floor(log2(length(value) + 1))::INT END AS cls FROM r WHERE grp IS NOT NULL AND value IS NOT NULL),
-      l AS (SELECT field, lag(cls) OVER (PARTITION BY src, grp, field ORDER BY ts, id) AS before, cls AS after FROM c)
-      SELECT field, before, after, count(*) AS n FROM l WHERE before IS NOT NULL AND before <> after GROUP BY ALL""",
+    "p4_latest": rf"""WITH {_VALUES}, {_CLASSES}, m AS (SELECT field, before, after, count(*) AS n FROM l WHERE before IS NOT NULL AND before <> after GROUP BY ALL),
+      o AS (SELECT m.field, m.before, m.after, m.n - coalesce(b.n, 0) AS weight FROM m LEFT JOIN m b ON b.field = m.field AND b.before = m.after AND b.after = m.before WHERE m.n > coalesce(b.n, 0)),
+      g AS (SELECT DISTINCT src, grp, field, cls FROM c),
+      e AS (SELECT g.src, g.grp, g.field, o.before, o.after, o.weight FROM g JOIN o ON o.field = g.field AND o.before = g.cls JOIN g h ON h.src = g.src AND h.grp = g.grp AND h.field = g.field AND h.cls = o.after),
+      s AS (SELECT src, grp, field, cls, max(b) AS by_, max(a) AS above FROM (SELECT src, grp, field, before AS cls, weight AS b, NULL AS a FROM e UNION ALL SELECT src, grp, field, after, NULL, weight FROM e) GROUP BY ALL),
+      k AS (SELECT src, grp, field FROM r WHERE grp IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)
+      SELECT src, grp, field, arg_max(id, struct_pack(a := -coalesce(by_, 0), aa := coalesce(above, 0), b := id)) AS pick FROM c JOIN k USING (src, grp, field) LEFT JOIN s USING (src, grp, field, cls) GROUP BY src, grp, field""",
+    "p4_currency": rf"""WITH {_VALUES}, {_CLASSES} SELECT field, before, after, count(*) AS n FROM l WHERE before IS NOT NULL AND before <> after GROUP BY ALL""",
 }

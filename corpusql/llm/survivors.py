@@ -1,9 +1,10 @@
 """Best representative of each duplicate group, field by field.
 
 Currency reasoning: from rows that carry a time, learn which value tends to follow which (transitions between the
-consecutive values of a group). The net direction of a value's transitions orders all values of a field so that every
-kept precedence points upwards; restricted to a group it is a linear extension of the group's partial order, and where
-times are missing the topologically latest value survives. Known evidence (trust, confidence, time) comes first.
+consecutive values of a group). Of two values the one that follows the other more often than the other way round is
+the later one. Those precedences among the values of a group are its partial order; where times are missing, a value
+that no other value of the group follows survives (of several, one that follows others), and where precedences run in a circle the weakest ones give way.
+Known evidence (trust, confidence, time) comes first.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusql.functions.text import DAY_US, bare_doi, micros, strip
 from corpusql.operators.skew import salted_join
+from corpusql.session import staged
 
 # Texts, by letters alone, that say only that there is no value.
 NO_VALUE = [
@@ -36,11 +38,11 @@ def year_of(c: Column) -> Column:
 
 
 def value_class(field: Column, value: Column) -> Column:
-    """What transitions are learned between: years and venues themselves, of long texts the size (powers of two)."""
+    """What transitions are learned between: years and venues themselves, of long texts whether their end is cut and the size (powers of two)."""
     return (
         F.when(field == "year", value)
         .when(field == "venue", F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]+", ""))
-        .otherwise(F.concat(F.lit("size "), F.floor(F.log2(F.length(value) + 1)).cast("string")))
+        .otherwise(F.concat(F.when(value.rlike(r"(\.\.\.|…)\s*$"), "cut ").otherwise(""), F.lit("size "), F.floor(F.log2(F.length(value) + 1)).cast("string")))
     )
 
 
@@ -61,20 +63,34 @@ def transitions(rows: DataFrame) -> DataFrame:
     return moves.groupBy("field", "before", "after").agg(F.count("*").alias("n"))
 
 
-def currency(moves: DataFrame) -> DataFrame:
-    """field, cls, currency in [-1, 1]: share of the transitions into a value class less those out of it."""
-    ends = moves.select("field", F.col("after").alias("cls"), F.col("n").alias("into"), F.lit(0).alias("out")).unionByName(
-        moves.select("field", F.col("before").alias("cls"), F.lit(0).alias("into"), F.col("n").alias("out"))
-    )
-    sums = ends.groupBy("field", "cls").agg(F.sum("into").alias("into"), F.sum("out").alias("out"))
-    return sums.select("field", "cls", ((F.col("into") - F.col("out")) / (F.col("into") + F.col("out"))).alias("currency"))
+def precedences(moves: DataFrame) -> DataFrame:
+    """field, before, after, weight: of two value classes, the one that follows the other more often is the later one; by how much more."""
+    up = F.col("before") < F.col("after")
+    pair = moves.select("field", F.least("before", "after").alias("x"), F.greatest("before", "after").alias("y"), F.when(up, F.col("n")).otherwise(-F.col("n")).alias("n"))
+    net = pair.groupBy("field", "x", "y").agg(F.sum("n").alias("n")).filter("n <> 0")
+    return net.select("field", F.when(F.col("n") > 0, F.col("x")).otherwise(F.col("y")).alias("before"), F.when(F.col("n") > 0, F.col("y")).otherwise(F.col("x")).alias("after"), F.abs("n").alias("weight"))
+
 
+def superseded(values: DataFrame, order: DataFrame) -> DataFrame:
+    """src, grp, field, cls, by, above: the strongest precedences by which another value class of the group follows this one (NULL: none
+    does) and by which it follows another one; no row for a class that neither holds of.
+
+    values: src, grp, field, cls, each once. The partial order of a group is found along the learned precedences, never by pairing
+    all its values. ``by`` orders circles too: as the weakest precedences are dropped, the class with the smallest ``by`` is free first.
+    """
+    ahead = salted_join(values, order.withColumnRenamed("before", "cls"), ["field", "cls"], ["grp"])
+    later = values.select("src", "grp", "field", F.col("cls").alias("after"))
+    side = lambda c, by, above: F.struct(F.col(c).alias("cls"), by.alias("by"), above.alias("above"))
+    none, weight = F.lit(None).cast("long"), F.col("weight")
+    both = ahead.join(later, ["src", "grp", "field", "after"]).select("src", "grp", "field", F.inline(F.array(side("cls", weight, none), side("after", none, weight))))
+    return both.groupBy("src", "grp", "field", "cls").agg(F.max("by").alias("by"), F.max("above").alias("above"))
 
-def survivors(rows: DataFrame, min_rows: int = 2, with_value: bool = True, keep_empty: bool = False) -> DataFrame:
+
+def survivors(rows: DataFrame, min_rows: int = 2, with_value: bool = True, keep_empty: bool = False, learned: DataFrame | None = None) -> DataFrame:
     """src, grp, field, pick, value, n_rows: the surviving value of each group with ``min_rows`` rows or more and a usable value.
 
     Without ``with_value`` values are not carried along and the column is NULL. With ``keep_empty`` groups without a
-    usable value stay, with a NULL pick.
+    usable value stay, with a NULL pick. ``learned``: precedences learned elsewhere; by default those of the dated rows.
 
     rows: src, grp, field, row_id, value (NULL: not usable), trust (higher survives, NULL last), ts (microseconds; the
     latest survives; NULL: the learned order decides, below any known time). Remaining ties go to the largest row_id.
@@ -83,12 +99,13 @@ def survivors(rows: DataFrame, min_rows: int = 2, with_value: bool = True, keep_
     rows = rows.filter(F.col("grp").isNotNull()).withColumn("cls", value_class(F.col("field"), F.col("value"))).withColumn("there", F.col("value").isNotNull())
     if not with_value:
         rows = rows.withColumn("value", F.lit(None).cast("string"))
-    valued = rows.filter("there")
     undated = rows.filter(F.col("there") & F.col("ts").isNull())
-    # The learned order is needed for undated rows alone, and only of their classes; a class may hold many of them.
-    order = currency(transitions(valued)).join(undated.select("field", "cls").distinct(), ["field", "cls"], "left_semi")
-    undated = salted_join(undated, order, ["field", "cls"], ["row_id"], "left").select(*rows.columns, "currency")
-    dated = rows.filter(~(F.col("there") & F.col("ts").isNull())).withColumn("currency", F.lit(None).cast("double"))
+    order = precedences(transitions(rows.filter("there"))) if learned is None else learned
+    group = ["src", "grp", "field", "cls"]
+    below = superseded(undated.select(*group).distinct(), order)
+    currency = F.struct((-F.coalesce("by", F.lit(0))).cast("long").alias("free"), F.coalesce("above", F.lit(0)).cast("long").alias("above"))
+    undated = salted_join(undated, below, group, ["row_id"], "left").select(*rows.columns, currency.alias("currency"))
+    dated = rows.filter(~(F.col("there") & F.col("ts").isNull())).withColumn("currency", F.lit(None).cast("struct<free:bigint,above:bigint>"))
     ranked = dated.unionByName(undated).withColumn("best", F.when(F.col("there"), F.struct("trust", "ts", "currency", "row_id", "value")))
     return (
         ranked.groupBy("src", "grp", "field").agg(F.max("best").alias("best"), F.count("*").alias("n_rows"))
@@ -97,11 +114,18 @@ def survivors(rows: DataFrame, min_rows: int = 2, with_value: bool = True, keep_
     )
 
 
+def undated_survivors(rows: DataFrame) -> DataFrame:
+    """``survivors`` as if no row had a time, trust or confidence: the learned precedences alone, from the rows' times, decide."""
+    valued = rows.filter("value IS NOT NULL AND grp IS NOT NULL").withColumn("cls", value_class(F.col("field"), F.col("value")))
+    bare = rows.withColumns({"ts": F.lit(None).cast("long"), "trust": F.lit(None).cast("long")})
+    return survivors(bare, with_value=False, learned=staged(precedences(transitions(valued)), "precedences"))
+
+
 def discovery_values(discovery: DataFrame, trust: DataFrame) -> DataFrame:
     """Rows for ``survivors``: year, venue and abstract of every discovery row with a DOI; arrival is the time of year and venue."""
     ranks = trust.groupBy(F.lower(strip("source")).alias("source")).agg(F.min("trust").alias("rank"))
     d = discovery.select("arrival", F.lower(strip("source")).alias("source"), "year", "venue", "abstract", bare_doi("doi").alias("grp")).filter(F.col("grp").isNotNull())
-    d = d.join(F.broadcast(ranks), "source", "left")
+    d = d.join(ranks, "source", "left")
     year, venue, abstract = year_of(F.col("year").cast("string")).cast("string"), F.when(usable(F.col("venue")), F.col("venue")), F.when(usable(F.col("abstract")), F.col("abstract"))
     by_trust = F.coalesce(-F.col("rank"), F.lit(-(1 << 30))).cast("long")
     field = lambda name, value, trust: F.struct(F.lit(name).alias("field"), value.alias("value"), trust.cast("long").alias("trust"))

@@ -205,6 +205,17 @@ def test_currency_decides_without_times(spark):
     assert [r.value for r in survivors.survivors(df).filter("grp = 'u'").collect()] == ["2003"]
 
 
+def test_partial_order_decides(spark):
+    """z is followed by a, and b by c, often, a by b once: between a and b only the last counts. A circle gives way at its weakest."""
+    seen = [("z", "a", 10), ("a", "b", 1), ("b", "c", 10), ("p", "q", 5), ("q", "r", 4), ("r", "p", 1)]
+    pairs = [(x, y) for x, y, n in seen for _ in range(n)]
+    dated = [("s", f"g{i}", "venue", 10 * i + k, v, 1, 100 * i + k) for i, pair in enumerate(pairs) for k, v in enumerate(pair)]
+    undated = [("s", g, "venue", 9000 + i, v, 1, None) for i, (g, v) in enumerate([("u", "b"), ("u", "a"), ("w", "r"), ("w", "q"), ("w", "p"), ("x", "new"), ("x", "other")])]
+    df = spark.createDataFrame([(*x, "") for x in dated + undated], VAL)
+    got = {r.grp: r.value for r in survivors.survivors(df).collect()}
+    assert (got["u"], got["w"], got["x"]) == ("b", "r", "other")
+
+
 def test_transitions_in_pieces(spark):
     rng = random.Random(2)
     data = [("s", rng.choice("ab"), "year", i, str(rng.randint(2000, 2003)), 1, rng.randint(0, 6) * survivors.DAY_US // 2) for i in range(300)]
@@ -252,16 +263,30 @@ def test_forest_batch_by_batch(spark, tmp_path):
     forest, got = history.Forest(spark, str(tmp_path / "a")), []
     forest.add(old)
     for batch in (1, 2, 3):
-        rows_ = new.filter(F.col("batch") == batch)
-        got += rows(forest.check(rows_))
-        forest.add(rows_)
+        got += rows(forest.check(new.filter(F.col("batch") == batch)))
         if batch == 2:
-            forest = forest.merged(str(tmp_path / "b"))
+            assert len(forest.runs) == 3
+            forest.merge()
             assert len(forest.runs) == 1
     assert sorted(got) == rows(history.seen_before(old.unionByName(new)))
     assert rows(history.Forest(spark, str(tmp_path / "c")).check(new.limit(0))) == []
 
 
+def test_forest_opens_the_ranges_of_a_batch_alone(spark, tmp_path, monkeypatch):
+    """However long the history is, a batch of one title reads no more ranges than it has paths."""
+    monkeypatch.setattr(history, "RANGE_ROWS", 20)
+    old = history.title_rows(spark.read.parquet(f"{SF}/entries.parquet"), F.lit(None).cast("long"), F.lit(0))
+    forest = history.Forest(spark, str(tmp_path / "a"))
+    run = forest.add(old)
+    assert run.ranges >= 32
+    one = history.title_rows(spark.createDataFrame([(1, 1, TITLE, None)], "rid long, batch int, title string, doi string"), F.col("rid"), F.col("batch"))
+    paths = history.permutations(history.title_classes(one), *forest.words)
+    opened = forest.touched(run, paths)
+    assert 0 < opened.select("part").distinct().count() <= paths.count() < run.ranges
+    assert re.search(r"PartitionFilters: \[.*part#\d+ (IN|INSET)", opened._jdf.queryExecution().executedPlan().toString())
+    assert rows(forest.check(one)) == []
+
+
 def test_history_recall_against_brute_force(spark):
     """Slips, cut ends and look changes of generated titles are found; the same rule checked pair by pair."""
     rng = random.Random(7)
@@ -280,27 +305,41 @@ def test_history_recall_against_brute_force(spark):
 
 
 def test_history_crowded_word_leads_alone(spark):
-    """A word of more than 100 titles leads to a title whose frequent words are slipped; blocks lose no pair."""
+    """A word of more than 100 titles leads to a title whose frequent words are slipped."""
     unique = iter("".join(x) for x in itertools.product("bdfgklm", "aeiou", "nprst", "aeiou", "vwxz"))
     filler = lambda n: [next(unique) for _ in range(n)]
     titles_ = [["kelbor", *filler(2)] for _ in range(120)] + [[w, next(unique)] for w in ("morat", "silven", "dorvak") for _ in range(140)] + [filler(1) for _ in range(960)]
     catalogue = [("kelbor morat silven dorvak", "10.1/a"), *((" ".join(t), f"10.2/{i}") for i, t in enumerate(titles_))]
     df = spark.createDataFrame([(None, 0, *x) for x in catalogue] + [(1, 1, "kelbor mroat slivne dorvak", None)], "rid long, batch int, title string, doi string")
-    for block in (2_000, 7):
-        with pytest.MonkeyPatch.context() as m:
-            m.setattr(history, "BLOCK", block, raising=False)
-            assert rows(history.seen_before(history.title_rows(df, F.col("rid"), F.col("batch")), share=0.09)) == [(1, "entries")]
+    assert rows(history.seen_before(history.title_rows(df, F.col("rid"), F.col("batch")), share=0.09)) == [(1, "entries")]
+
+
+def test_history_half_a_rare_word(spark):
+    """A title of one rare word with a slip is found by the half that has none; so is an unspaced Chinese one."""
+    catalogue = [("Hydrology", None), ("水文模型的参数估计方法", "10.1/z")]
+    assert seen(spark, catalogue, [(1, 1, "Hydrologgy", None), (2, 1, "水文模型的参数诂计方法", None), (3, 1, "Geology", None)]) == [(1, "entries"), (2, "entries")]
 
 
-def test_history_widens_past_any_node_size(spark, monkeypatch):
+def test_history_widens_while_the_estimate_is_low(spark, monkeypatch):
     """The prefix is made shorter until the estimate holds, and pairs with equal letters don't count in it."""
     pairs = [("a", "b", 1, False), ("c", "d", 2, False), *(("e", str(i), 6, True) for i in range(98))]
     assert history.estimated_recall(spark.createDataFrame(pairs, "a string, b string, trees long, equal boolean")) == 0.8
     seen_at = []
-    monkeypatch.setattr(history, "_node_size", lambda paths, depth: 1000.0)
+    monkeypatch.setattr(history.Forest, "_first_depth", lambda self: 5)
     monkeypatch.setattr(history, "estimated_recall", lambda found: seen_at.append(found.count()) or 0.0)
     seen(spark, [(TITLE, None)], [(1, 1, TITLE.replace("moisture", "moistrue"), None)])
-    assert len(seen_at) == history.LONGEST - 1
+    assert len(seen_at) == 4
+
+
+def test_path_nodes_nest(spark):
+    """Titles in one node at a depth share the node of every shorter prefix; keys of a node are one range."""
+    df = spark.read.parquet(f"{SF}/entries.parquet")
+    classes = history.title_classes(history.title_rows(df, F.lit(None).cast("long"), F.lit(0)))
+    paths = history.permutations(classes, *history.vocabulary(classes, 0.02)).filter(F.col("kind") >= history.TREE)
+    deep = paths.groupBy(history.node(6).alias("deep")).agg(F.count_distinct(history.node(2)).alias("n"), F.count_distinct(history.node(4)).alias("m"))
+    assert deep.filter("n > 1 OR m > 1").count() == 0
+    pdf = paths.select("key", history.node(2).alias("node")).toPandas().sort_values("key")
+    assert (pdf.node != pdf.node.shift()).sum() == pdf.node.nunique()
 
 
 def test_same_title_editions(spark):
