@@ -24,7 +24,8 @@ from corpusql.session import staged
 
 #: Two primes below 2**31 and the bases of the hashes.
 PRIMES = ((2_147_483_629, 1_000_003), (2_147_483_587, 69_621))
-_TABLE_SIZE = 0x20000
+#: Beyond the last plane with letters everything is skipped.
+_TABLE_SIZE = 0x32400
 
 
 @functools.cache
@@ -63,7 +64,7 @@ def _stream(texts: pd.Series, skip: bool) -> tuple[np.ndarray, np.ndarray]:
         if j >= 0 and (whole := _composed(int(codes[j]), int(codes[i]))):
             codes[j], codes[i] = whole, 0
     inside = codes < _TABLE_SIZE
-    kept = np.where(inside, fold[np.where(inside, codes, 0)], codes)
+    kept = np.where(inside, fold[np.where(inside, codes, 0)], 0)
     row = np.repeat(np.arange(len(values)), sizes)[kept != 0]
     return kept[kept != 0], np.bincount(row, minlength=len(values)).astype(np.int64)
 

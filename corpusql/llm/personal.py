@@ -64,7 +64,10 @@ _PHONE = regex.compile(r"(?<![\p{L}\p{N}.\-/+(§])(?:" + "|".join(PHONE_FORMS) +
 # What every match of the longer patterns has: quick to look for.
 _DIGIT = regex.compile(r"\d")
 _AT = regex.compile(r"[@＠]|(?i:[\[({<] ?at ?[\])}>]| at [\p{L}\p{N}\-]+(?: dot | ?[\[({])|arroba)")
-_CUE = regex.compile(r"\b(?i:social|ssn\b|passport|pasaporte|passeport|reisepass|travel|identi|id\b|national|personal|personnummer|dni\b|ni[efn]o?\b|ni\b|insurance|sozial|tax|tin\b|steuer|regist|seguridad|sécurité|nhs\b)|身份证|护照|[A-Z]{2} \d{2} \d{2}")
+_CUE = regex.compile(
+    r"(?<![\p{L}\p{N}])(?i:social|ssn|passport|pasaporte|passeport|reisepass|travel|identi|id card|national|personal|personnummer|dni|ni[efn]|ni n|insurance|sozial|tax|tin|steuer"
+    r"|civil|health|registry|population|resident|seguridad|sécurité|carte|nhs|身份证|护照)|[A-Z]{2} \d{2} \d{2}"
+)
 _GAP = r"(?:[ \t\u00a0]+|[ \t]*\r?\n[ \t]*)"
 _NAME = r"\p{Lu}[\p{L}\p{M}’']+(?:-\p{Lu}[\p{L}\p{M}]+)?"
 _ADDRESS = regex.compile(
@@ -234,7 +237,7 @@ def placeholder(kind: str, value: str, key: bytes) -> str:
 FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
 
 
-def learned_names(authors: DataFrame, share: float = 0.0002) -> tuple[list[str], list[str]]:
+def learned_names(authors: DataFrame, share: float = 5e-6) -> tuple[list[str], list[str]]:
     """(given, family) names, folded, from author lists (column ``authors``).
 
     Given names are what follows the comma of ``Family, Given``; family names what stands before it, or beside a known

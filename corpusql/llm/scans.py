@@ -167,13 +167,13 @@ class Editor:
                 best = (s[op] - s[KEEP], i, *by_op[op])
         return best
 
-    def edit(self, word: str, turns: int = 4) -> str:
+    def edit(self, word: str) -> str:
         """The word with its misread characters repaired; unchanged if it is known or nothing better is found.
 
         A repair must give a known word or at least remove characters that no word has.
         """
         now = word
-        for _ in range(turns):
+        for _ in range(len(word)):
             if self.vocabulary.known(now):
                 return now
             step = self._step(now)
@@ -264,13 +264,15 @@ _TAIL = regex.compile(r"(?P<head>.*?\S)(?P<gap>\s+)(?P<tail>" + "|".join(_PAGES[
 _LEAD = regex.compile(r"(?P<tail>" + "|".join(_PAGES[k] for k in ("page-word", "dashed", "bar", "digits")) + r")(?P<gap>\s{2,})(?P<head>\S.*)$")
 _OPENS = regex.compile(r"\p{Lu}[\p{L}\p{M}’'-]*(?: et al\.)?: |(?:\p{Lu}\. ?){1,3}\p{Lu}")
 _ISSUE = regex.compile(r"\(\d{4}\) \d")
+_GAP_WIDE = regex.compile(r"\s{2,}")
 LABELS = ["text", "header", "page", "header+page"]
 
 
 def _form(segment: str) -> tuple[str, str]:
     """(form of the head, form of a page number at its end): names in _FORMS and _PAGES or ``none``."""
-    # Cheap signs that every form has: short, all capitals, an issue, ``et al`` or the opening of a named title.
-    if not (len(segment) <= 24 or "et al" in segment or _ISSUE.search(segment) or _OPENS.match(segment) or segment == segment.upper()):
+    # Cheap signs that every form has: short, all capitals, an issue, ``et al`` or the opening of a named title; a number may stand before it.
+    parts = [segment, *_GAP_WIDE.split(segment, 1)[1:]]
+    if not any(len(x) <= 24 or "et al" in x or _ISSUE.search(x) or _OPENS.match(x) or x == x.upper() for x in parts):
         return "none", "none"
     for name, rx in _LINE_FORMS.items():
         if rx.fullmatch(segment):
@@ -311,7 +313,7 @@ class Furniture:
         out = []
         for i, line in enumerate(lines):
             line = line.strip()
-            out.append("text" if not line or len(line) > 110 or _form(line)[0] == "none" else self.model.predict(_line_features(lines, i, self.vocabulary)))
+            out.append("text" if not line or _form(line)[0] == "none" else self.model.predict(_line_features(lines, i, self.vocabulary)))
         return out
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:

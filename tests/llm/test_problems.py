@@ -40,6 +40,7 @@ def cleaner(spark):
         ("Tables list the gauge\nJ. Lowland Hydrol. 4 (2021) 66–68    12\nstations that passed.", "Tables list the gauge stations that passed.", ["page_number", "running_header"]),
         ("Annual totals agree with Page 3 of 9 daily values.", "Annual totals agree with daily values.", ["page_number"]),
         ("Earlier work (Doe et al., 1994) reported that (4.2) holds. Table 4", "Earlier work (Doe et al., 1994) reported that (4.2) holds. Table 4", []),
+        ("Tables list the gauge\n17    Kelstad: Robust change detection of soil moisture\nstations that passed.", "Tables list the gauge stations that passed.", ["page_number", "running_header"]),
         ("", "", []),
         (None, None, []),
     ],
@@ -162,6 +163,17 @@ def test_format_copies(spark):
     assert copies(spark, []) == []
 
 
+def test_formats_beyond_the_letters(spark):
+    """Variation selectors are skipped; letters of the supplementary planes are kept."""
+    assert copies(spark, [("a", "p", "Low flow\U000e0100 X", None), ("b", "p", "low flow x", None), ("c", "p", "low flow \U00020000x", None)]) == [("a", "b")]
+
+
+def test_learned_names_of_many_authors(spark):
+    """However many names there are, each is learned."""
+    df = spark.range(20_000).selectExpr("array(concat('Fam', translate(cast(id AS STRING), '0123456789', 'abcdefghij'), ', Giv', translate(cast(id AS STRING), '0123456789', 'klmnopqrst'))) AS authors")
+    assert [len(x) for x in personal.learned_names(df)] == [20_000, 20_000]
+
+
 def test_format_classes_against_brute_force(spark):
     import unicodedata
 
@@ -439,6 +451,7 @@ GIVEN, FAMILY = frozenset(["sanna", "kofi", "renee", "pilar"]), frozenset(["kels
         ("Following Kelstad (1999), the Dorel Index; Kelstad and Belander (2001). Kofi agreed. A Gaussian process.", []),
         ("<a.b+c@lab.uni-x.example>, q [at] field [dot] test; z(at)r.test, m at lab dot example. x@2.4.1 Recall@10 @step", [("email", x) for x in ("a.b+c@lab.uni-x.example", "q [at] field [dot] test", "z(at)r.test", "m at lab dot example")]),
         ("+1 719 555 0108, (435) 555-0113; 598.555.0162 01 99 00 42 44 01632 960499, ext. 12. Grid 835 027 209", [("phone", x) for x in ("+1 719 555 0108", "(435) 555-0113", "598.555.0162", "01 99 00 42 44", "01632 960499")]),
+        ("SSN123-45-6789, DNI12345678Z; _ssn 123-45-6780", [("id_number", x) for x in ("123-45-6789", "12345678Z", "123-45-6780")]),
         ("passport no. Q66724691, SSN 991-42-6150; the Steuer-ID: 16 409 649 161. Gauge 812-44-4448, Serial 1470-9382", [("id_number", x) for x in ("Q66724691", "991-42-6150", "16 409 649 161")]),
         ("at 203 North Jinford Ave, third floor; 349 rue de Tarbrook. Jirbrookstraße 189b, Calle Jaford 127", [("address", x) for x in ("203 North Jinford Ave", "349 rue de Tarbrook", "Jirbrookstraße 189b", "Calle Jaford 127")]),
         ("", []),
