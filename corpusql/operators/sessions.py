@@ -23,7 +23,7 @@ def listing(sessions: DataFrame, entries: DataFrame) -> DataFrame:
 
 def tagged(entries: DataFrame, tag: str) -> DataFrame:
     """rowid, session_id, agent, content of log rows that have a tag."""
-    return delivered_once(entries).filter(F.array_contains("tags", tag)).select("rowid", "session_id", "agent", "content")
+    return delivered_once(entries.filter(F.array_contains("tags", tag))).select("rowid", "session_id", "agent", "content")
 
 
 def tag_counts(entries: DataFrame) -> DataFrame:
@@ -40,8 +40,8 @@ def agents(entries: DataFrame) -> DataFrame:
 
 
 def rejected(sessions: DataFrame, entries: DataFrame) -> DataFrame:
-    """rowid, reason: log rows that an append would refuse: no session id, no such session, or logged before it was created."""
-    known = sessions.select(F.col("id").alias("session_id"), instant_micros("created").alias("born"), F.lit(True).alias("there"))
+    """rowid, reason: log rows that an append would refuse: no session id, no such session, a closed one, or logged before it was created."""
+    known = sessions.select(F.col("id").alias("session_id"), instant_micros("created").alias("born"), "closed", F.lit(True).alias("there"))
     e = delivered_once(entries).select("rowid", "session_id", micros("logged_at").alias("at")).join(known, "session_id", "left")
-    reason = F.when(F.col("session_id").isNull(), "no_session").when(F.col("there").isNull(), "unknown_session").when(F.col("at") < F.col("born"), "before_creation")
+    reason = F.when(F.col("session_id").isNull(), "no_session").when(F.col("there").isNull(), "unknown_session").when(F.col("closed"), "closed_session").when(F.col("at") < F.col("born"), "before_creation")
     return e.select("rowid", reason.alias("reason")).filter("reason IS NOT NULL")

@@ -174,7 +174,7 @@ _q(
 )(sessions.agents)
 _q(
     "sess_rejected",
-    f"""SELECT rowid, reason FROM (SELECT rowid, CASE WHEN l.session_id IS NULL THEN 'no_session' WHEN s.id IS NULL THEN 'unknown_session'
+    f"""SELECT rowid, reason FROM (SELECT rowid, CASE WHEN l.session_id IS NULL THEN 'no_session' WHEN s.id IS NULL THEN 'unknown_session' WHEN s.closed THEN 'closed_session'
       WHEN logged_at < timezone('UTC', CAST(created AS TIMESTAMPTZ)) THEN 'before_creation' END AS reason FROM {_LOG} l LEFT JOIN sessions s ON s.id = l.session_id) WHERE reason IS NOT NULL""",
     "sessions", "session_entries",
 )(sessions.rejected)
