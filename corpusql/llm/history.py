@@ -21,14 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusql.functions.text import bare_doi, title_norm
-from corpusql.llm.titles import cut_end, frequent_words, same_title
+from corpusql.llm.titles import cut_end, few_exchanged, frequent_words, letter_sketch, same_title
 from corpusql.operators.skew import salted_join
 from corpusql.session import discard, new_path, staged, write_table
 
 #: Hashed orders of the frequent words.
 TREES = 6
 #: Mean number of titles in a title's node, up to which the prefix is short enough to begin with.
-NODE = 3.0
+NODE = 6.0
 #: Rows of a range of a sorted run.
 RANGE_ROWS = 2_000_000
 #: Runs of one history, from which on they are merged.
@@ -51,10 +51,11 @@ def title_rows(df: DataFrame, rid: Column, batch: Column) -> DataFrame:
 
 
 def title_classes(rows: DataFrame) -> DataFrame:
-    """One row for rows of the same words, DOI and cut: cid, norm, cut, doi, first, last (batch)."""
-    return rows.groupBy("cid").agg(
+    """One row for rows of the same words, DOI and cut: cid, norm, cut, doi, first, last (batch), sketch."""
+    classes = rows.groupBy("cid").agg(
         *(F.first(c).alias(c) for c in ("norm", "cut", "doi")), F.min("batch").alias("first"), F.max("batch").alias("last"),
     )
+    return classes.withColumn("sketch", letter_sketch(F.col("norm")))
 
 
 def vocabulary(classes: DataFrame, share: float = 0.001) -> tuple[list[str], list[str]]:
@@ -100,13 +101,14 @@ def _all_paths(trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             # Frequent words come first in every path; rare ones, which tell much but stand alone, follow where those have ended.
             late = place >= long("frequent").astype(np.int64)[row]
+            first_by = row * 2 + late
             zeros = np.zeros(n, np.int64)
             parts = [(DOI, long("doi1"), long("doi2"), np.flatnonzero(long("has_doi"))), (LETTERS, long("fold1"), long("fold2"), np.flatnonzero(long("has_letters")))]
             alone, of, _ = flat(batch, "alone")
             parts.append((ALONE, alone, np.zeros(len(alone), np.int64), of))
             for t in range(trees):
                 h = _mixed(values, t)
-                order = np.lexsort((h, late, row))
+                order = np.lexsort((h, first_by))
                 key, rest = _packed(h[order], row, place, n)
                 parts.append((TREE + t, key, rest, np.flatnonzero(sizes > 0)))
                 if t == 0:
@@ -246,7 +248,7 @@ class Forest:
         old = self.runs
         union = lambda tables: self.spark.read.parquet(*tables)
         titles = staged(union([r.titles for r in old]).groupBy("cid").agg(
-            *(F.first(c).alias(c) for c in ("norm", "cut", "doi")), F.min("first").alias("first"), F.max("last").alias("last")), f"{self.folder}/titles")
+            *(F.first(c).alias(c) for c in ("norm", "cut", "doi", "sketch")), F.min("first").alias("first"), F.max("last").alias("last")), f"{self.folder}/titles")
         self.runs = [self._write(titles, titles.count())]
         discard(self.spark, *(r.paths for r in old), *(r.titles for r in old))
 
@@ -318,12 +320,13 @@ class Forest:
         known = history.select(meet("bare").alias("meet"), F.col("cid").alias("b"), "first")
         pairs = asked.join(narrowed(known, asked, "meet", slots), "meet").filter((F.col("first") < F.col("last")) & (F.col("a") != F.col("b")))
         pairs = staged(pairs.groupBy("a", "b").agg(F.count("*").alias("trees"), F.min("first").alias("first")), f"{self.folder}/pairs")
-        side = lambda titles, x: titles.select(F.col("cid").alias(x), F.col("norm").alias(f"norm_{x}"), F.col("cut").alias(f"cut_{x}"))
+        side = lambda titles, x: titles.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("norm", "cut", "sketch")))
         titles = narrowed(self.spark.read.parquet(*(r.titles for r in self.runs)), pairs.select(F.col("b").alias("cid")), "cid", slots).dropDuplicates(["cid"])
         both = pairs.join(side(self.spark.read.parquet(run.titles), "a"), "a").join(side(titles, "b"), "b")
         letters = lambda x: F.replace(f"norm_{x}", F.lit(" "))
         part = lambda x: (F.split(f"norm_{x}", " "), letters(x), F.col(f"cut_{x}"))
-        return both.filter(same_title(*part("a"), *part("b"))).select("a", "b", "trees", "first", (letters("a") == letters("b")).alias("equal"))
+        few = few_exchanged(F.col("sketch_a"), F.length("norm_a"), F.col("sketch_b"), F.length("norm_b"))
+        return both.filter(few).filter(same_title(*part("a"), *part("b"))).select("a", "b", "trees", "first", (letters("a") == letters("b")).alias("equal"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
