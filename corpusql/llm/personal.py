@@ -1,8 +1,8 @@
 """Personal information inside free text: find it, and write typed placeholders in its place.
 
 Finding is by the forms of each kind; names come from a list that Spark learns from author fields. Numbers and dates
-whose form is valid are permuted within it by a keyed Feistel network, so that equal values stay equal (and
-linked) in all documents while the text stays readable; other values get a keyed tag.
+are permuted within their form by a keyed Feistel network, check characters and dates kept valid, so that equal values, however
+laid out, stay equal (and linked) in all documents while the text stays readable; other values get a keyed tag.
 """
 
 from __future__ import annotations
@@ -183,53 +183,167 @@ _PERSON = regex.compile(rf"(?<![\p{{L}}\p{{N}}\p{{M}}’'@._-])(?:(?P<i>\p{{Lu}}
 # --- format-preserving pseudonyms ---------------------------------------------------------------------------------
 
 
-def feistel(value: int, size: int, key: bytes, tweak: str, rounds: int = 8) -> int:
-    """A keyed permutation of 0..size-1: a balanced Feistel network over the next even number of bits, walked until it stays inside."""
+def feistel(value: int, size: int, key: bytes, tweak: str, back: bool = False, rounds: int = 8) -> int:
+    """A keyed permutation of 0..size-1 (``back``: its inverse): a balanced Feistel network over the next even number of bits, walked until it stays inside."""
     if size < 2:
         return value
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
+
+    def mixed(i: int, x: int) -> int:
+        return int.from_bytes(hashlib.blake2b(f"{tweak}|{i}|{x}".encode(), key=key, digest_size=8).digest(), "big") & mask
+
     while True:
         a, b = value >> half, value & mask
-        for i in range(rounds):
-            f = hashlib.blake2b(f"{tweak}|{i}|{b}".encode(), key=key, digest_size=8).digest()
-            a, b = b, a ^ (int.from_bytes(f, "big") & mask)
+        for i in reversed(range(rounds)) if back else range(rounds):
+            a, b = (b ^ mixed(i, a), a) if back else (b, a ^ mixed(i, b))
         value = a << half | b
         if value < size:
             return value
 
 
-def permute_digits(text: str, key: bytes, tweak: str) -> str:
-    """Digits (and capital letters) of a number changed for others by a permutation of all numbers of its form; the rest stays."""
-    shape = regex.sub(r"[A-Z]", "A", regex.sub(r"\d", "9", text))
-    n, letters = shape.count("9"), shape.count("A")
-    digits = "".join(c for c in text if c.isdigit())
-    capitals = "".join(c for c in text if "A" <= c <= "Z")
-    new_digits = iter(f"{feistel(int(digits), 10**n, key, f'{tweak}|{shape}|d'):0{n}d}" if n else "")
-    code = feistel(functools.reduce(lambda v, c: v * 26 + ord(c) - 65, capitals, 0), 26**letters, key, f"{tweak}|{shape}|a")
-    new_letters = iter("".join(chr(65 + code // 26**i % 26) for i in reversed(range(letters))))
-    return "".join(next(new_digits) if s == "9" else next(new_letters) if s == "A" else c for s, c in zip(shape, text))
+def _digits(digits: str, key: bytes, tweak: str, back: bool) -> str:
+    return f"{feistel(int(digits), 10 ** len(digits), key, tweak, back):0{len(digits)}d}" if digits else ""
+
+
+def _laid_out(text: str, code: str) -> str:
+    """The letters and digits of ``code`` where the text has its own."""
+    new = iter(code)
+    return "".join(next(new) if c.isalnum() else c for c in text)
+
+
+# Country codes of two digits; 1 and 7 have one, all others three.
+COUNTRIES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def permute_phone(text: str, key: bytes, back: bool = False) -> str:
+    """A telephone number whose national digits are changed for others; country code, trunk zero and layout stay.
+
+    All writings of a number, with or without country code and trunk zero, get the same new national digits.
+    """
+    digits = "".join(c for c in text if c.isdecimal())
+    at = 2 if digits.startswith("00") else 0
+    if text.startswith("+") or at:
+        at += 1 if digits[at : at + 1] in ("1", "7") else 2 if digits[at : at + 2] in COUNTRIES else 3
+        places = [i for i, c in enumerate(text) if c.isdecimal()]
+        at += at < len(digits) and digits[at] == "0" and text[places[at] - 1] == "("
+    elif digits.startswith("0") or len(digits) == 11 and digits.startswith("1"):
+        at = 1
+    own = new = digits[at:]
+    while own:
+        new = _digits(new, key, f"phone|{len(own)}", back)
+        if all((new[0] == c) == (own[0] == c) for c in "01"):  # it still begins like a national number
+            break
+    return _laid_out(text, digits[:at] + new)
+
+
+def _luhn(body: str) -> str:
+    doubled = [int(c) * (2 - i % 2) for i, c in enumerate(reversed(body))]
+    return str(-sum(n - 9 * (n > 9) for n in doubled) % 10)
 
 
-def permute_date(yymmdd: str, key: bytes) -> str | None:
-    """A valid date written YYMMDD changed for another valid date of a hundred years; None if it is not valid."""
+def _eleven(body: str) -> str:
+    rest = -sum(int(c) * (10 - i) for i, c in enumerate(body)) % 11
+    return str(rest) if rest < 10 else ""
+
+
+def _eleven_ten(body: str) -> str:
+    product = 10
+    for c in body:
+        product = ((int(c) + product) % 10 or 10) * 2 % 11
+    return str((11 - product) % 10)
+
+
+def _letter(body: str) -> str:
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(body) % 23]
+
+
+#: How personal numbers are made: n a digit, d a date's digit, k a character that stays, c the check characters, worked out from what
+#: stands before them (``""``: no number has this body). The first form that a number fits, date and check characters included, is its form.
+ID_MAKES = [
+    ("resident", "nnnnnnddddddddnnnc", "%Y%m%d", lambda b: "10X98765432"[sum(int(c) * pow(2, 17 - i, 11) for i, c in enumerate(b)) % 11]),
+    ("birth", "kkddddddnnnc", "%y%m%d", lambda b: _luhn(b[2:])),
+    ("birth", "ddddddnnnc", "%y%m%d", _luhn),
+    ("health", "nnnnnnnnnc", None, _eleven),
+    ("tax", "nnnnnnnnnnc", None, _eleven_ten),
+    ("insured", "nnnnnnnnnnnnncc", None, lambda b: f"{97 - int(b) % 97:02d}"),
+    ("identity", "nnnnnnnnc", None, _letter),
+    ("foreigner", "knnnnnnnc", None, lambda b: _letter(str("XYZ".index(b[0])) + b[1:]) if b[0] in "XYZ" else ""),
+    ("social", "nnnnnnnnn", None, lambda b: "" if b[:3] in ("000", "666") or b[0] == "9" or b[3:5] == "00" or b[5:] == "0000" else "ok"),
+    ("born", "kkddddddnnnn", "%y%m%d", lambda b: "ok"),
+    ("born", "ddddddnnnn", "%y%m%d", lambda b: "ok"),
+    ("day", "ddddddnnnn", "%d%m%y", lambda b: "ok"),
+]
+_CLASS = {"n": "[0-9]", "d": "[0-9]", "k": "[0-9A-Z]", "c": "[0-9A-Z]"}
+_MAKES = [(name, regex.compile("".join(_CLASS[c] for c in form)), form, date, check) for name, form, date, check in ID_MAKES]
+
+
+def _day(digits: str, form: str) -> dt.date | None:
+    """The date; years of two digits are those of one century."""
     try:
-        day = dt.date(1900 + int(yymmdd[:2]), int(yymmdd[2:4]), int(yymmdd[4:6]))
+        day = dt.datetime.strptime(digits, form).date()
+        day = day.replace(year=1900 + day.year % 100) if "%y" in form else day
     except ValueError:
         return None
+    return day if day.strftime(form) == digits and 1900 <= day.year < 2100 else None
+
+
+def permute_date(digits: str, form: str, key: bytes, back: bool = False) -> str:
+    """A valid date changed for another one, both of 1900 to 1999 (two digits a year) or to 2099."""
     first = dt.date(1900, 1, 1)
-    days = (dt.date(2000, 1, 1) - first).days
-    return (first + dt.timedelta(days=feistel((day - first).days, days, key, "date"))).strftime("%y%m%d")
+    days = (dt.date(2000 if "%y" in form else 2100, 1, 1) - first).days
+    return (first + dt.timedelta(days=feistel((_day(digits, form) - first).days, days, key, "date", back))).strftime(form)
+
+
+def _picked(code: str, form: str, kind: str) -> str:
+    return "".join(c for c, f in zip(code, form) if f == kind)
+
+
+def _make_of(code: str) -> int | None:
+    """Which of ``ID_MAKES`` a number is."""
+    for i, (_, whole, form, date, check) in enumerate(_MAKES):
+        if whole.fullmatch(code) and (not date or _day(_picked(code, form, "d"), date)):
+            made = check(code[: len(form) - form.count("c")])
+            if made == _picked(code, form, "c") if "c" in form else made:
+                return i
+    return None
+
+
+def _stepped(code: str, make: int | None, key: bytes, back: bool) -> str:
+    """The next number of the same make, its check characters made anew, or, without make, of the same shape."""
+    if make is None:
+        shape = regex.sub("[A-Z]", "A", regex.sub("[0-9]", "9", code))
+        letters = _picked(code, shape, "A")
+        digits = iter(_digits(_picked(code, shape, "9"), key, f"id|{shape}|d", back))
+        at = feistel(functools.reduce(lambda v, c: v * 26 + ord(c) - 65, letters, 0), 26 ** len(letters), key, f"id|{shape}|a", back)
+        new = iter("".join(chr(65 + at // 26**i % 26) for i in reversed(range(len(letters)))))
+        return "".join(next(digits) if s == "9" else next(new) if s == "A" else c for c, s in zip(code, shape))
+    name, _, form, date, check = _MAKES[make]
+    numbers = iter(_digits(_picked(code, form, "n"), key, f"id|{name}", back))
+    day = iter(permute_date(_picked(code, form, "d"), date, key, back) if date else "")
+    body = "".join(next(numbers) if f == "n" else next(day) if f == "d" else c for c, f in zip(code, form) if f != "c")
+    return body + (check(body).rjust(form.count("c"), "?") if "c" in form else "")
+
+
+def permute_id(text: str, key: bytes, back: bool = False) -> str:
+    """A personal number changed for another one of its make: dates stay dates and check characters stay right (or wrong). Layout aside, equal numbers get equal ones."""
+    code = "".join(c for c in unicodedata.normalize("NFKC", text).upper() if c.isalnum())
+    if len(code) != sum(c.isalnum() for c in text):
+        return text
+    make = _make_of(code)
+    code = _stepped(code, make, key, back)
+    while _make_of(code) != make:
+        code = _stepped(code, make, key, back)
+    return _laid_out(text, code)
 
 
 def placeholder(kind: str, value: str, key: bytes) -> str:
-    """``[KIND pseudonym]``: numbers in their own form, anything else by a keyed tag; equal values (white space and case aside) get equal ones."""
+    """``[KIND pseudonym]``: numbers in their own form, anything else by a keyed tag of 128 bits; equal values get equal ones, however numbers
+    are laid out and whatever the white space and case of the rest."""
     if kind in ("phone", "id_number"):
-        dated = regex.fullmatch(r"(\d{6})([-+]\d{4})", value) if kind == "id_number" else None
-        date = permute_date(dated[1], key) if dated else None
-        return f"[{kind.upper()} {date + permute_digits(dated[2], key, kind) if date else permute_digits(value, key, kind)}]"
+        return f"[{kind.upper()} {(permute_phone if kind == 'phone' else permute_id)(value, key)}]"
     folded = " ".join(unicodedata.normalize("NFC", value).casefold().split())
-    return f"[{kind.upper()} {hashlib.blake2b(folded.encode(), key=key, digest_size=4).hexdigest()}]"
+    return f"[{kind.upper()} {hashlib.blake2b(folded.encode(), key=key, digest_size=16).hexdigest()}]"
 
 
 # --- Spark --------------------------------------------------------------------------------------------------------
@@ -280,8 +394,11 @@ def found_in(text: Column, given: list[str], family: list[str]) -> Column:
     return find(text)
 
 
-def redacted(text: Column, given: list[str], family: list[str], key: bytes = b"corpus") -> Column:
-    """The text with placeholders for personal information; NULL stays NULL, the rest of the text stays as it is."""
+def redacted(text: Column, given: list[str], family: list[str], key: bytes) -> Column:
+    """The text with placeholders for personal information; NULL stays NULL, the rest of the text stays as it is.
+
+    Whoever has the key can undo the numbers (``back``), so it is the caller's secret: 16 to 64 bytes.
+    """
     g, f = frozenset(given), frozenset(family)
 
     @F.pandas_udf(T.StringType())

@@ -105,9 +105,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_text(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's text with typed placeholders."""
+    """Every document's text with typed placeholders. The key is the session's ``corpusql.pseudonym.key``; without one, a public one for tests."""
     given, family = personal.learned_names(table(spark, d, "discovery_results"))
-    return table(spark, d, "documents").select("doc_id", personal.redacted(F.col("text"), given, family).alias("text"))
+    key = spark.conf.get("corpusql.pseudonym.key", "public key for tests").encode()
+    return table(spark, d, "documents").select("doc_id", personal.redacted(F.col("text"), given, family, key).alias("text"))
 
 
 def _p1(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -3,10 +3,13 @@
 import itertools
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from datetime import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusql.llm import encode, formats, history, matching, mixture, personal, scans, survivors, titles
@@ -473,10 +476,40 @@ def test_feistel_is_a_permutation():
     assert personal.placeholder("email", "A@b.test", b"k") == personal.placeholder("email", "a@B.test", b"k")
 
 
+def test_writings_of_one_number_are_linked():
+    last = lambda x: re.sub(r"\D", "", personal.permute_phone(x, b"k"))[-10:]
+    assert len({last(x) for x in ("+1 555-123-4567", "+1 (555) 123 4567", "1-555-123-4567", "555.123.4567")}) == 1
+    assert personal.permute_phone("+49 30 1234567", b"k")[4:] == personal.permute_phone("030 1234567", b"k")[1:]
+    for one, other in (("12345678Z", "12345678-Z"), ("943 476 5919", "9434765919"), ("811218-9876", "8112189876")):
+        assert len({re.sub("[- ]", "", personal.permute_id(x, b"k")) for x in (one, other)}) == 1
+
+
+@pytest.mark.parametrize("form", range(len(personal.ID_MAKES) + 1))
+def test_numbers_keep_their_make_and_come_back(form):
+    rng, seen = random.Random(form), {}
+    for _ in range(4000):
+        layout = personal.ID_MAKES[form][1] if form < len(personal.ID_MAKES) else "kkddddddk"
+        code = "".join(rng.choice("0123456789" if c != "k" else "XYZ12") for c in layout)
+        if form < len(personal.ID_MAKES) and layout.endswith("c"):  # mostly valid ones
+            n = layout.count("c")
+            code = code[:-n] + (personal.ID_MAKES[form][3](code[:-n]) if code[0] != "k" else "").rjust(n, "0")
+        new = personal.permute_id(code, b"k")
+        assert personal._make_of(new) == personal._make_of(code) and len(new) == len(code)
+        assert personal.permute_id(new, b"k", back=True) == code
+        assert seen.setdefault(new, code) == code
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.from_regex(r"(\+\d{1,3} ?|00|0|\()?\d{2,4}\)?[ .-]\d{3,7}", fullmatch=True))
+def test_phones_come_back(text):
+    text = text.translate({ord(c): str(unicodedata.digit(c)) for c in text if c.isdigit()})
+    assert personal.permute_phone(personal.permute_phone(text, b"k"), b"k", back=True) == text
+
+
 def test_redacted(spark):
     df = spark.createDataFrame([(1, "Ask Kofi Dorel at 598.555.0162.", None, ""), (2, None, None, ""), (3, "", None, ""), (4, "x " * 100_000, None, "")], DOC)
-    got = dict(rows(df.select("doc_id", personal.redacted(F.col("text"), list(GIVEN), list(FAMILY)).alias("t"))))
-    assert re.fullmatch(r"Ask \[PERSON [0-9a-f]{8}\] at \[PHONE \d{3}\.\d{3}\.\d{4}\]\.", got[1])
+    got = dict(rows(df.select("doc_id", personal.redacted(F.col("text"), list(GIVEN), list(FAMILY), b"k").alias("t"))))
+    assert re.fullmatch(r"Ask \[PERSON [0-9a-f]{32}\] at \[PHONE \d{3}\.\d{3}\.\d{4}\]\.", got[1])
     assert got[2] is None and got[3] == "" and got[4] == "x " * 100_000
     assert df.limit(0).select(F.inline(personal.found_in(F.col("text"), [], []))).count() == 0
 
