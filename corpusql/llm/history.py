@@ -291,11 +291,11 @@ class Forest:
     def _linked(self, mine: DataFrame, history: DataFrame, slots: int, run: Run) -> DataFrame:
         """a (of the batch), b (of earlier ones), trees, equal, first: classes with the same title, one of them without DOI."""
         at = self.depth or self._first_depth()
-        found = staged(self._links(mine, history, slots, run, at), f"{self.folder}/links")
+        found = self._links(mine, history, slots, run, at)
         while at > 1 and estimated_recall(found) < self.recall:
             at -= 1
             discard(self.spark, found)
-            found = staged(self._links(mine, history, slots, run, at), f"{self.folder}/links")  # a shorter prefix leads to all that a longer one does
+            found = self._links(mine, history, slots, run, at)  # a shorter prefix leads to all that a longer one does
         self.depth = at
         return found
 
@@ -320,13 +320,20 @@ class Forest:
         known = history.select(meet("bare").alias("meet"), F.col("cid").alias("b"), "first")
         pairs = asked.join(narrowed(known, asked, "meet", slots), "meet").filter((F.col("first") < F.col("last")) & (F.col("a") != F.col("b")))
         pairs = staged(pairs.groupBy("a", "b").agg(F.count("*").alias("trees"), F.min("first").alias("first")), f"{self.folder}/pairs")
-        side = lambda titles, x: titles.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("norm", "cut", "sketch")))
-        titles = narrowed(self.spark.read.parquet(*(r.titles for r in self.runs)), pairs.select(F.col("b").alias("cid")), "cid", slots).dropDuplicates(["cid"])
-        both = pairs.join(side(self.spark.read.parquet(run.titles), "a"), "a").join(side(titles, "b"), "b")
+        mine_titles, titles = self.spark.read.parquet(run.titles), self.spark.read.parquet(*(r.titles for r in self.runs))
+        once = lambda ids: narrowed(titles, ids.select(F.col("b").alias("cid")), "cid", slots).dropDuplicates(["cid"])
+        # Letter counts first: the titles themselves are fetched for those alone whose letters allow them to be the same.
+        brief = lambda df, x: df.select(F.col("cid").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.length("norm").alias(f"n_{x}"))
+        few = few_exchanged(F.col("sketch_a"), F.col("n_a"), F.col("sketch_b"), F.col("n_b"))
+        near = staged(pairs.join(brief(mine_titles, "a"), "a").join(brief(once(pairs), "b"), "b").filter(few).select("a", "b", "trees", "first"), f"{self.folder}/near")
+        side = lambda df, x: df.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("norm", "cut")))
+        both = near.join(side(mine_titles, "a"), "a").join(side(once(near), "b"), "b")
         letters = lambda x: F.replace(f"norm_{x}", F.lit(" "))
         part = lambda x: (F.split(f"norm_{x}", " "), letters(x), F.col(f"cut_{x}"))
-        few = few_exchanged(F.col("sketch_a"), F.length("norm_a"), F.col("sketch_b"), F.length("norm_b"))
-        return both.filter(few).filter(same_title(*part("a"), *part("b"))).select("a", "b", "trees", "first", (letters("a") == letters("b")).alias("equal"))
+        links = both.filter(same_title(*part("a"), *part("b"))).select("a", "b", "trees", "first", (letters("a") == letters("b")).alias("equal"))
+        links = staged(links, f"{self.folder}/links")
+        discard(self.spark, pairs, near)
+        return links
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
