@@ -37,6 +37,22 @@ def metadata_findings(entries: DataFrame) -> DataFrame:
     return entries.select("id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("f")).select("id", "f.*")
 
 
+def result_findings(discovery: DataFrame, first: int = 1900, last: int = 2100) -> DataFrame:
+    """arrival, severity, code, detail: rules broken by a provider's result; lists of DOIs must not hold empty items."""
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    gap = lambda c: F.coalesce(F.exists(c, lambda x: F.coalesce(F.trim(x), F.lit("")) == ""), F.lit(False))
+    year = F.col("year").cast("string")
+    rules = F.array(
+        _finding(empty("title"), "error", "missing_title", F.lit("")),
+        _finding(~empty("doi") & ~F.col("doi").rlike(DOI_FORM), "error", "invalid_doi", F.col("doi")),
+        _finding(~F.col("year").between(first, last), "error", "invalid_year", year),
+        _finding(F.col("year").isNull(), "info", "missing_year", F.lit("")),
+        _finding(gap("cites"), "error", "invalid_cites", F.lit("")),
+        _finding(gap("cited_by"), "error", "invalid_cited_by", F.lit("")),
+    )
+    return discovery.select("arrival", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("f")).select("arrival", "f.*")
+
+
 def duplicates(entries: DataFrame, key: str, code: str) -> DataFrame:
     """Findings for every key that more than one row has; the smallest id stands for the group."""
     k = bare_doi(key) if key == "doi" else F.nullif(strip(key), F.lit(""))

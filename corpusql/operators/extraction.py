@@ -70,6 +70,24 @@ def equations(documents: DataFrame) -> DataFrame:
     )
 
 
+def is_math(latex: Column) -> Column:
+    """Two characters or more, no list of citation numbers, and a sign that formulas have."""
+    s = F.trim(latex)
+    return (F.length(s) >= 2) & ~s.rlike(r"^\^?\{?[\d,\s-]+\}?$") & s.rlike(r"[=\\_^]")
+
+
+def equation_contexts(documents: DataFrame, chars: int = 120) -> DataFrame:
+    """doc_id, item, is_math, context: the text around the start of each display equation, without ``$`` and with single blanks."""
+    docs = _text(documents).filter(F.contains("text", F.lit("$$"))).select("doc_id", "text", F.split("text", r"\$\$").alias("p"))
+    n = F.floor((F.size("p") - 1) / 2).cast("int")
+    each = docs.filter(n > 0).withColumn("item", F.explode(F.sequence(F.lit(0), n - 1)))
+    at = F.aggregate(F.slice("p", 1, F.col("item") * 2 + 1), F.lit(0), lambda a, x: a + F.length(x) + 2) - 2  # lengths alone: no text is joined
+    start = F.greatest(at - chars // 2, F.lit(0))
+    around = F.replace(F.substring("text", start + 1, at + chars // 2 - start), F.lit("$"), F.lit(""))
+    context = F.left(F.trim(F.regexp_replace(around, r"\s+", " ")), F.lit(chars))
+    return each.select("doc_id", "item", is_math(F.get("p", F.col("item") * 2 + 1)).alias("is_math"), context.alias("context"))
+
+
 def symbols(latex: Column) -> Column:
     """Sorted distinct symbols of a formula: Greek letters, letters with subscripts, single letters."""
     commands = F.filter(F.regexp_extract_all(latex, F.lit(r"\\([a-zA-Z]+)"), F.lit(1)), lambda c: ~c.isin(LATEX_OPERATORS))
@@ -111,6 +129,19 @@ def markdown_tables(documents: DataFrame) -> DataFrame:
     return tables.filter(F.col("rule_at") == F.col("first_line") + 1).select("doc_id", "first_line", F.col("h.line").alias("header"), (F.col("k") - 2).alias("n_rows"))
 
 
+def table_captions(documents: DataFrame) -> DataFrame:
+    """doc_id, first_line, caption of tables in the text: the last line before that is not blank, if it names a table or is shorter than 200; else ``""``."""
+    before = W.partitionBy("doc_id").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    above = F.last(F.nullif(F.trim("line"), F.lit("")), ignorenulls=True).over(before)
+    bar = lines(documents.filter(F.contains("text", F.lit("|")))).select("doc_id", "n", "line", above.alias("above")).filter(F.col("line").rlike(r"^\s*\|.*\|\s*$"))
+    run = bar.withColumn("run", F.col("n") - F.row_number().over(W.partitionBy("doc_id").orderBy("n")))
+    rule = F.trim("line").rlike(r"^\|[ :|-]+\|$")
+    tables = run.groupBy("doc_id", "run").agg(F.min(F.struct("n", "above")).alias("h"), F.min(F.when(rule, F.col("n"))).alias("rule_at")).filter(F.col("rule_at") == F.col("h.n") + 1)
+    named = F.col("h.above").rlike(r"(?i)^(\*\*)?table\s+\d")
+    caption = F.when(named, F.trim(F.regexp_replace("h.above", r"^\*+|\*+$", ""))).when((F.length("h.above") < 200) & ~F.startswith("h.above", F.lit("|")), F.col("h.above"))
+    return tables.select("doc_id", F.col("h.n").alias("first_line"), F.coalesce(caption, F.lit("")).alias("caption"))
+
+
 def annotations(documents: DataFrame) -> DataFrame:
     """doc_id, n, identifier, kind, location of ``REF:`` comments in source files."""
     hit = F.regexp_extract("line", r"(?:^|[#!/%;]\s*)REF:\s*(?:doi:)?(\S+)", 1)

@@ -45,3 +45,14 @@ def rejected(sessions: DataFrame, entries: DataFrame) -> DataFrame:
     e = delivered_once(entries).select("rowid", "session_id", micros("logged_at").alias("at")).join(known, "session_id", "left")
     reason = F.when(F.col("session_id").isNull(), "no_session").when(F.col("there").isNull(), "unknown_session").when(F.col("closed"), "closed_session").when(F.col("at") < F.col("born"), "before_creation")
     return e.select("rowid", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def opened_and_closed(sessions: DataFrame, entries: DataFrame, idle_since: str) -> DataFrame:
+    """id, closed, is_new: sessions, with those that only the log names opened and those without a row since ``idle_since`` closed.
+
+    A session without any dated row stays as it is; rows without a session id open none.
+    """
+    log = entries.groupBy(F.nullif(strip("session_id"), F.lit("")).alias("id")).agg(F.max(micros("logged_at")).alias("last")).filter("id IS NOT NULL")
+    all_ = sessions.select("id", "closed", F.lit(True).alias("there")).join(log, "id", "full")
+    idle = F.coalesce(F.col("last") < micros(F.lit(idle_since)), F.lit(False))
+    return all_.select("id", (F.coalesce("closed", F.lit(False)) | idle).alias("closed"), F.col("there").isNull().alias("is_new"))

@@ -132,6 +132,18 @@ _q(
     "entries", "repair_actions",
 )(lambda e, r: audit.apply_repairs(e, audit.planned_repairs(r)))
 
+_GAP = lambda c: f"len(list_filter(coalesce({c}, []), lambda x: {_EMPTY('x')})) > 0"
+_q(
+    "aud_results",
+    f"""SELECT arrival, severity, code, detail FROM (SELECT arrival, 'error' AS severity, 'missing_title' AS code, '' AS detail, {_EMPTY("title")} AS hit FROM discovery_results
+    UNION ALL SELECT arrival, 'error', 'invalid_doi', doi, NOT {_EMPTY("doi")} AND NOT regexp_matches(doi, '^10\\.\\d{{4,9}}/[-._;()/:A-Za-z0-9]+$') FROM discovery_results
+    UNION ALL SELECT arrival, 'error', 'invalid_year', year::VARCHAR, year NOT BETWEEN 1900 AND 2100 FROM discovery_results
+    UNION ALL SELECT arrival, 'info', 'missing_year', '', year IS NULL FROM discovery_results
+    UNION ALL SELECT arrival, 'error', 'invalid_cites', '', {_GAP("cites")} FROM discovery_results
+    UNION ALL SELECT arrival, 'error', 'invalid_cited_by', '', {_GAP("cited_by")} FROM discovery_results) WHERE hit""",
+    "discovery_results",
+)(audit.result_findings)
+
 # --- recovery --------------------------------------------------------------------------------------------------------------
 
 _REASON = "coalesce(nullif(trim(split_part(reason, ':', 1), ' '), ''), 'unknown')"
@@ -179,6 +191,13 @@ _q(
     "sessions", "session_entries",
 )(sessions.rejected)
 
+_q(
+    "sess_state",
+    f"""WITH l AS (SELECT {_sess("session_id")} AS id, max(logged_at) AS last FROM session_entries GROUP BY 1), k AS (SELECT * FROM l WHERE id IS NOT NULL)
+    SELECT coalesce(s.id, k.id) AS id, coalesce(s.closed, false) OR coalesce(k.last < TIMESTAMP '2024-06-01 00:00:00', false) AS closed, s.id IS NULL AS is_new FROM sessions s FULL JOIN k ON k.id = s.id""",
+    "sessions", "session_entries",
+)(lambda s, e: sessions.opened_and_closed(s, e, "2024-06-01 00:00:00"))
+
 # --- archives --------------------------------------------------------------------------------------------------------------------
 
 _q(

@@ -49,6 +49,14 @@ _q(
       coalesce(regexp_extract_all(array_to_string(p[1:item * 2 + 1], '$$'), '(?m)^#{{1,6}} +([^\n]*)$', 1)[-1], '') AS section FROM e""",
     extraction.equations, "documents",
 )
+_q(
+    "ext_contexts",
+    rf"""WITH {_T}, p AS (SELECT doc_id, text, string_split(text, '$$') AS p FROM t WHERE contains(text, '$$')), e AS (SELECT doc_id, text, p, unnest(range((len(p) - 1) // 2))::INT AS item FROM p),
+    a AS (SELECT *, length(array_to_string(p[1:item * 2 + 1], '$$')) AS k, trim(p[item * 2 + 2], ' ') AS x FROM e)
+    SELECT doc_id, item, length(x) >= 2 AND NOT regexp_matches(x, '^\^?\{{?[\d,\s-]+\}}?$') AND regexp_matches(x, '[=\_^]') AS is_math,
+      left(trim(regexp_replace(replace(substring(text, greatest(k - 60, 0) + 1, k + 60 - greatest(k - 60, 0)), '$', ''), '\s+', ' ', 'g'), ' '), 120) AS context FROM a""",
+    extraction.equation_contexts, "documents",
+)
 _OPS = ", ".join(f"'{x}'" for x in extraction.LATEX_OPERATORS)
 _q(
     "ext_symbols",
@@ -79,6 +87,15 @@ _q(
     SELECT doc_id, first_line, header, k - 2 AS n_rows FROM g WHERE rule_at = first_line + 1""",
     extraction.markdown_tables, "documents",
 )
+_q(
+    "ext_captions",
+    rf"""WITH {_L}, a AS (SELECT *, last_value(nullif(trim(line, ' '), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM l),
+    b AS (SELECT doc_id, n, trim(line) AS line, above, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM a WHERE regexp_matches(line, '^\s*\|.*\|\s*$')),
+    g AS (SELECT doc_id, min(n) AS first_line, arg_min(coalesce(above, ''), n) AS above, min(CASE WHEN regexp_matches(line, '^\|[ :|-]+\|$') THEN n END) AS rule_at FROM b GROUP BY doc_id, run)
+    SELECT doc_id, first_line, CASE WHEN regexp_matches(above, '(?i)^(\*\*)?table\s+\d') THEN trim(trim(above, '*'), ' ') WHEN length(above) < 200 AND NOT starts_with(above, '|') THEN above ELSE '' END AS caption
+    FROM g WHERE rule_at = first_line + 1""",
+    extraction.table_captions, "documents",
+)
 _REFS = rf"""r AS (SELECT doc_id, n, line, regexp_replace(regexp_extract(line, '(?:^|[#!/%;]\s*)REF:\s*(?:doi:)?(\S+)', 1), '[\s.,;:!?)\]}}>''"’”]+$', '') AS identifier FROM l),
     a AS (SELECT doc_id, n, identifier, CASE WHEN identifier LIKE '10.%' THEN 'doi' ELSE 'paper_id' END AS kind, trim(regexp_extract(line, 'REF:\s*\S+\s+(.*)$', 1), ' ') AS location FROM r WHERE identifier <> '')"""
 _q("ext_refs", f"WITH {_L}, {_REFS} SELECT * FROM a", extraction.annotations, "documents")
