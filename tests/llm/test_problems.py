@@ -514,6 +514,44 @@ def test_redacted(spark):
     assert df.limit(0).select(F.inline(personal.found_in(F.col("text"), [], []))).count() == 0
 
 
+def test_sketches_rule_out_other_titles_only(spark):
+    rng = random.Random(4)
+    words = "deep learning for image detection retrieval networks robust sequence of graph models neural estimation 2019 métodos survey clustering transfer".split()
+
+    def slipped(w: str) -> str:
+        i = rng.randrange(len(w))
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("aeé1") + w[i:], w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :], w[:4], w]) or w
+
+    rows = []
+    for _ in range(1500):
+        a = rng.choices(words, k=rng.randint(1, 12))
+        b = [slipped(w) if rng.random() < 0.4 else rng.choice(words) if rng.random() < 0.05 else w for w in a]
+        if rng.random() < 0.2 and len(b) > 1:
+            i = rng.randrange(len(b) - 1)
+            b[i : i + 2] = [b[i] + b[i + 1]]
+        cut = rng.random() < 0.3
+        text = " ".join(b)
+        rows.append((" ".join(a), text[: rng.randint(len(text) // 2, len(text))].strip() if cut else text, cut))
+    rows += [("deep learning for image detection networks", f"deep learning for image {w} networks", False) for w in ("retrieval", "sequence", "clustering")]
+    df = spark.createDataFrame(rows, "a string, b string, cut boolean").filter("b <> ''")
+    fold = lambda c: F.replace(c, F.lit(" "))
+    sketch = lambda c, cut: titles.title_sketch(F.col(c), cut)
+    for by_hand in (False, True):
+        same = titles.same_title(F.split("a", " "), fold("a"), F.lit(False), F.split("b", " "), fold("b"), F.col("cut"), by_hand)
+        may = titles.may_be_same(sketch("a", F.lit(False)), sketch("b", F.col("cut")), by_hand)
+        got = df.select("a", "b", same.alias("same"), may.alias("may")).collect()
+        # Few of the same titles have many letters exchanged, which is ruled out by intent; no other may be.
+        lost = [r for r in got if r.same and not r.may]
+        exchanged = lambda r: min(sum((Counter(r.a) - Counter(r.b)).values()), sum((Counter(r.b) - Counter(r.a)).values()))
+        assert [r for r in lost if exchanged(r) <= 4] == []
+        assert sum(r.same for r in got) > 400
+        assert not any(r.may for r in got[-3:])
+    # Empty batches, empty and NULL titles.
+    assert df.limit(0).select(sketch("a", F.lit(False))).collect() == []
+    odd = spark.createDataFrame([("", ""), (None, ""), ("中文 题目", "中文 题目"), ("a", "b")], "a string, b string")
+    assert [r[0] for r in odd.select(titles.may_be_same(sketch("a", F.lit(False)), sketch("b", F.lit(False)))).collect()] == [True] * 4
+
+
 def test_learned_names(spark):
     df = spark.createDataFrame([(["Dorel, Kofi", "Kofi Merázar", None],), (None,), (["K. Dorel", "BELANDER KOFI"],)], "authors array<string>")
     assert [sorted(x) for x in personal.learned_names(df)] == [["kofi"], ["belander", "dorel", "merazar"]]
