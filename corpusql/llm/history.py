@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusql.functions.text import bare_doi, title_norm
-from corpusql.llm.titles import cut_end, few_exchanged, frequent_words, letter_sketch, same_title
+from corpusql.llm.titles import cut_end, frequent_words, may_be_same, same_title, title_sketch
 from corpusql.operators.skew import salted_join
 from corpusql.session import discard, new_path, staged, write_table
 
@@ -55,7 +55,7 @@ def title_classes(rows: DataFrame) -> DataFrame:
     classes = rows.groupBy("cid").agg(
         *(F.first(c).alias(c) for c in ("norm", "cut", "doi")), F.min("batch").alias("first"), F.max("batch").alias("last"),
     )
-    return classes.withColumn("sketch", letter_sketch(F.col("norm")))
+    return classes.withColumn("sketch", title_sketch(F.col("norm"), F.col("cut")))
 
 
 def vocabulary(classes: DataFrame, share: float = 0.001) -> tuple[list[str], list[str]]:
@@ -320,13 +320,17 @@ class Forest:
         known = history.select(meet("bare").alias("meet"), F.col("cid").alias("b"), "first")
         pairs = asked.join(narrowed(known, asked, "meet", slots), "meet").filter((F.col("first") < F.col("last")) & (F.col("a") != F.col("b")))
         pairs = staged(pairs.groupBy("a", "b").agg(F.count("*").alias("trees"), F.min("first").alias("first")), f"{self.folder}/pairs")
-        side = lambda titles, x: titles.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("norm", "cut", "sketch")))
-        titles = narrowed(self.spark.read.parquet(*(r.titles for r in self.runs)), pairs.select(F.col("b").alias("cid")), "cid", slots).dropDuplicates(["cid"])
-        both = pairs.join(side(self.spark.read.parquet(run.titles), "a"), "a").join(side(titles, "b"), "b")
+        titles = self.spark.read.parquet(*(r.titles for r in self.runs))
+        side = lambda titles, x, *of: titles.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in of))
+        met = lambda pairs: narrowed(titles, pairs.select(F.col("b").alias("cid")), "cid", slots).dropDuplicates(["cid"])
+        sketched = pairs.join(side(self.spark.read.parquet(run.titles), "a", "sketch"), "a").join(side(met(pairs), "b", "sketch"), "b")
+        alike = staged(sketched.filter(may_be_same(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b", "trees", "first"), f"{self.folder}/alike")
+        discard(self.spark, pairs)
+        mine = narrowed(self.spark.read.parquet(run.titles), alike.select(F.col("a").alias("cid")), "cid", slots)
+        both = alike.join(side(mine, "a", "norm", "cut"), "a").join(side(met(alike), "b", "norm", "cut"), "b")
         letters = lambda x: F.replace(f"norm_{x}", F.lit(" "))
         part = lambda x: (F.split(f"norm_{x}", " "), letters(x), F.col(f"cut_{x}"))
-        few = few_exchanged(F.col("sketch_a"), F.length("norm_a"), F.col("sketch_b"), F.length("norm_b"))
-        return both.filter(few).filter(same_title(*part("a"), *part("b"))).select("a", "b", "trees", "first", (letters("a") == letters("b")).alias("equal"))
+        return both.filter(same_title(*part("a"), *part("b"))).select("a", "b", "trees", "first", (letters("a") == letters("b")).alias("equal"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
