@@ -531,10 +531,10 @@ def learn_vocabulary(documents: DataFrame, discovery: DataFrame, share: float =
     """
     text = documents.select("text").filter("text IS NOT NULL")
 
-    # What is counted, as pattern, group and whether in lower case.
+    # What is counted, as pattern, group and whether in lower case. A word is tried at its start alone, not again at each of its letters.
     kinds = {
-        "words": (r"[\p{L}\p{M}\p{N}]*[\p{L}][\p{L}\p{M}\p{N}']*", 0, False), "compounds": (r"[\p{L}]+(?:-[\p{L}]+)+", 0, True),
-        "before": (r"(\p{L}+) [0-9]", 1, True), "after": (r"[0-9] (\p{L}+)", 1, True),
+        "words": (r"[\p{L}\p{M}\p{N}]*[\p{L}][\p{L}\p{M}\p{N}']*", 0, False), "compounds": (r"(?<!\p{L})\p{L}++(?:-\p{L}++)+", 0, True),
+        "before": (r"(?<!\p{L})(\p{L}++) [0-9]", 1, True), "after": (r"[0-9] (\p{L}+)", 1, True),
     }
 
     def marked(kind: str) -> Column:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import unicodedata
 from collections import Counter, defaultdict
 from datetime import datetime
@@ -552,6 +553,18 @@ def test_sketches_rule_out_other_titles_only(spark):
     assert [r[0] for r in odd.select(titles.may_be_same(sketch("a", F.lit(False)), sketch("b", F.lit(False)))).collect()] == [True] * 4
 
 
+def test_vocabulary_reads_each_word_once(spark):
+    text = "state-of-the-art table 4 3abc-def 5 x-y-z- 7-eight Nine-2 ten 11 " * 3
+    docs = spark.createDataFrame([(text,), ("a" * 300_000,)], "text string")
+    none = spark.createDataFrame([], "title string, authors array<string>, venue string")
+    began = time.time()
+    got = scans.learn_vocabulary(docs, none)
+    assert time.time() - began < 30  # tried at each letter, the long word takes minutes
+    low = text.lower()
+    assert got.compounds == frozenset(re.findall(r"[a-z]+(?:-[a-z]+)+", low))
+    assert got.before_number == frozenset(re.findall(r"([a-z]+) [0-9]", low))
+
+
 def test_learned_names(spark):
     df = spark.createDataFrame([(["Dorel, Kofi", "Kofi Merázar", None],), (None,), (["K. Dorel", "BELANDER KOFI"],)], "authors array<string>")
     assert [sorted(x) for x in personal.learned_names(df)] == [["kofi"], ["belander", "dorel", "merazar"]]
