@@ -1,7 +1,7 @@
 """Deduplicating new batches against all history with a forest of sorted title signatures.
 
-A title has several signature permutations: hashed orders of its frequent words, its own word order (for cut ends), and
-each of its rare words alone; DOI and letters are two more, of one element. A permutation is a path of a prefix tree, packed so
+A title has several signature permutations: hashed orders of its frequent words, with slips of frequent words put right in some of
+them, its own word order (for cut ends), and each of its rare words alone; DOI and letters are two more, of one element. A permutation is a path of a prefix tree, packed so
 that paths sort by their prefixes: a node of any depth is one range of the sorted run. Runs are written once, in ranges; a
 batch opens only the ranges that its own paths fall into, finds its nodes there, and leaves the rest of history unread.
 How many links are missed is estimated from how many were found by one permutation only and by two; while the recall is below its
@@ -16,12 +16,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusql.functions.text import bare_doi, title_norm
-from corpusql.llm.titles import cut_end, frequent_words, may_be_same, same_title, title_sketch
+from corpusql.llm.titles import cut_end, frequent_words, may_be_same, same_title, spaced, title_sketch, word_hashes
 from corpusql.operators.skew import salted_join
 from corpusql.session import discard, new_path, staged, write_table
 
@@ -34,7 +33,7 @@ RANGE_ROWS = 2_000_000
 #: Runs of one history, from which on they are merged.
 RUNS = 8
 #: Batches are taken together until they have so many rows, so that small ones don't cost a job each.
-TOGETHER = 100_000
+TOGETHER = 1_000_000
 #: Words of a path: the first has 28 bits of the key, three more 12 bits each, four more lie in ``rest``.
 LONGEST = 8
 #: Kinds of permutations: what is compared is the whole key, but for HALF and TREE (and on: one kind a tree), whose nodes are prefixes.
@@ -52,14 +51,13 @@ def title_rows(df: DataFrame, rid: Column, batch: Column) -> DataFrame:
 
 def title_classes(rows: DataFrame) -> DataFrame:
     """One row for rows of the same words, DOI and cut: cid, norm, cut, doi, first, last (batch), sketch."""
-    classes = rows.groupBy("cid").agg(
-        *(F.first(c).alias(c) for c in ("norm", "cut", "doi")), F.min("batch").alias("first"), F.max("batch").alias("last"),
-    )
+    # Grouped by all that ``cid`` stands for: values that are kept by first() would have to be sorted.
+    classes = rows.groupBy("cid", "norm", "cut", "doi").agg(F.min("batch").alias("first"), F.max("batch").alias("last"))
     return classes.withColumn("sketch", title_sketch(F.col("norm"), F.col("cut")))
 
 
 def vocabulary(classes: DataFrame, share: float = 0.001) -> tuple[list[str], list[str]]:
-    """Frequent words, and those of them in so many titles that they say nothing."""
+    """Frequent words, the scarcest first, and those of them in so many titles that they say nothing."""
     return frequent_words(classes.filter("norm <> ''").withColumn("words", F.split("norm", " ")), "words", share)[1:]
 
 
@@ -81,49 +79,115 @@ def _packed(words: np.ndarray, row: np.ndarray, place: np.ndarray, n: int) -> tu
     return key.view(np.int64), rest.view(np.int64)
 
 
-def _all_paths(trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """cid, bare, first, last, kind, key, rest of all paths, for batches with the hashes that paths are made of (see ``permutations``).
+class Righted:
+    """Rare words that are slips of a frequent one (a letter changed, left out or added, or two swapped), as that one; of several, as the most frequent.
 
-    As column expressions, the orders and their packing take Spark five times as long.
+    Words of a letter less are compared: both sides of such a slip have one in common. Two frequent words written together
+    become these two. Short words and numbers stay as they are.
     """
 
-    def flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Values, the row of each, and the number of values a row."""
-        lists = batch.column(column)
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes), sizes
+    def __init__(self, often: list[str], least: int = 4):
+        self.least, self.less = least, {}
+        words = [w for w in often if not any(map(str.isdigit, w))]
+        self.often = dict(zip(words, word_hashes(spaced(pa.array(words, pa.string()))[0])[1].tolist()))
+        for w in reversed(words):  # the most frequent first
+            if len(w) >= least:
+                for v in self._variants(w):
+                    self.less.setdefault(v, self.often[w])
+        self.known: dict[int, tuple[int, ...]] = {}
+
+    def _variants(self, w: str) -> list[str]:
+        return [w, *(w[:i] + w[i + 1 :] for i in range(len(w)))]
+
+    def _as(self, w: str, own: int) -> tuple[int, ...]:
+        if len(w) < self.least or any(map(str.isdigit, w)):
+            return (own,)
+        less, often = self.less, self.often
+        for v in self._variants(w):
+            if v in less:
+                return (less[v],)
+        for i in range(3, len(w) - 2):
+            if w[:i] in often and w[i:] in often:
+                return often[w[:i]], often[w[i:]]
+        return (own,)
+
+    def __call__(self, data: np.ndarray, begin: np.ndarray, hashed: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``hashed`` with those at ``rare`` put right, second words at the end; which of ``hashed`` each one comes from."""
+        text = data.tobytes()
+        each, at, which = np.unique(hashed[rare], return_index=True, return_inverse=True)
+        for h, start in zip(each.tolist(), begin[rare][at].tolist()):
+            if h not in self.known:
+                self.known[h] = self._as(text[start : text.index(b" ", start)].decode(), h)
+        new = [self.known[h] for h in each.tolist()]
+        out = hashed.copy()
+        out[rare] = np.array([x[0] for x in new], np.uint64)[which]
+        second, has = np.array([x[-1] for x in new], np.uint64)[which], np.array([len(x) > 1 for x in new], bool)[which]
+        return np.concatenate([out, second[has]]), np.concatenate([np.arange(len(hashed)), rare[has]])
+
+
+def _paths_of(trees: int, often: list[str], always: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """cid, bare, first, last, kind, key, rest of all paths, for batches of titles (see ``permutations``).
+
+    As column expressions, the words' hashes, orders and their packing take Spark five times as long.
+    """
+    often_, always_ = (np.sort(word_hashes(spaced(pa.array(ws, pa.string()))[0])[1]) for ws in (often, always))
+    right = Righted(often)
+
+    def within(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values if len(of) else np.zeros(len(values), bool)
+
+    def ordered(hashed: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places among ``hashed`` of the words that paths are made of, whether each is rare, its row, its place in the row, and the number a row."""
+        # Each word of a title once, where it stands first.
+        by = np.lexsort((hashed, row))
+        again = np.zeros(len(by), bool)
+        again[by[1:]] = (row[by[1:]] == row[by[:-1]]) & (hashed[by[1:]] == hashed[by[:-1]])
+        # Words in so many titles that they say nothing lead no path, but in titles that have no others.
+        telling = ~again & ~within(hashed, always_)
+        told = np.bincount(row[telling], minlength=n) > 0
+        kept = np.flatnonzero(telling | (~again & ~told[row]))
+        # Frequent words come first in every path; rare ones, which tell much but stand alone, follow where those have ended.
+        late = told[row[kept]] & ~within(hashed[kept], often_)
+        first = np.argsort(row[kept] * 2 + late, kind="stable")
+        kept, late = kept[first], late[first]
+        sizes = np.bincount(row[kept], minlength=n)
+        return kept, late, row[kept], np.arange(len(kept)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             long = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-            values, row, sizes = flat(batch, "words")
-            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            # Frequent words come first in every path; rare ones, which tell much but stand alone, follow where those have ended.
-            late = place >= long("frequent").astype(np.int64)[row]
-            first_by = row * 2 + late
-            zeros = np.zeros(n, np.int64)
+            data, ends = spaced(batch.column("norm"))
+            begin, hashed, long_words, heads, tails = word_hashes(data)
+            of_word = np.searchsorted(ends, begin, side="right")
+            kept, late, row, place, sizes = ordered(hashed, of_word, n)
+            values = hashed[kept].view(np.int64)
             parts = [(DOI, long("doi1"), long("doi2"), np.flatnonzero(long("has_doi"))), (LETTERS, long("fold1"), long("fold2"), np.flatnonzero(long("has_letters")))]
-            alone, of, _ = flat(batch, "alone")
-            parts.append((ALONE, alone, np.zeros(len(alone), np.int64), of))
+            parts.append((ALONE, values[late], np.zeros(np.count_nonzero(late), np.int64), row[late]))
+            righted, source = right(data, begin, hashed, kept[late])
+            kept_r, late_r, row_r, place_r, sizes_r = ordered(righted, of_word[source], n)
             for t in range(trees):
-                h = _mixed(values, t)
-                order = np.lexsort((h, first_by))
-                key, rest = _packed(h[order], row, place, n)
-                parts.append((TREE + t, key, rest, np.flatnonzero(sizes > 0)))
+                v, r, p, s, l = (values, row, place, sizes, late) if t == 0 else (righted[kept_r].view(np.int64), row_r, place_r, sizes_r, late_r)
+                h = _mixed(v, t)
+                order = np.lexsort((h, r * 2 + l))
+                key, rest = _packed(h[order], r, p, n)
+                parts.append((TREE + t, key, rest, np.flatnonzero(s > 0)))
                 if t == 0:
                     # After half a rare word come the frequent words in the same order, one place later.
                     after, rest_after = _packed(h[order][~late], row[~late], place[~late] + 1, n)
             for i in (1, 2):
                 h, tail = _mixed(values, -i), place >= i - 1
                 parts.append((TREE + trees + i, *_packed(h[tail], row[tail], place[tail] - (i - 1), n), np.flatnonzero(sizes >= i)))
-            halves, of, _ = flat(batch, "halves")
+            long_ = late & long_words[kept]
+            halves, of = np.concatenate([heads[kept[long_]], tails[kept[long_]]]).view(np.int64), np.concatenate([row[long_]] * 2)
             parts.append((HALF, (halves << 36) | after[of], rest_after[of], of))
-            for kind, key, rest, some in parts:
-                if kind not in (ALONE, HALF):
-                    key, rest = key[some], rest[some]
-                own = [batch.column(c).take(pa.array(some)) for c in ("cid", "bare", "first", "last")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(some), kind, np.int8)), pa.array(key), pa.array(rest)], names=["cid", "bare", "first", "last", "kind", "key", "rest"])
+            parts = [(kind, *((x if kind in (ALONE, HALF) else x[some]) for x in (key, rest)), some) for kind, key, rest, some in parts]
+            kinds = np.concatenate([np.full(len(some), kind, np.int8) for kind, _, _, some in parts])
+            keys, rests, of = (np.concatenate([part[i] for part in parts]) for i in (1, 2, 3))
+            # Sorted as the run will be, so that Spark has few long pieces to merge.
+            order = np.lexsort((rests, keys, kinds <= LETTERS))
+            own = [batch.column(c).take(pa.array(of[order])) for c in ("cid", "bare", "first", "last")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(kinds[order]), pa.array(keys[order]), pa.array(rests[order])], names=["cid", "bare", "first", "last", "kind", "key", "rest"])
 
     return paths
 
@@ -134,20 +198,12 @@ def permutations(classes: DataFrame, often: list[str], always: list[str], trees:
     Words in so many titles that they say nothing lead no path, but in titles that have no others. Half a rare word (four
     letters at either end) leads a path of frequent words too, since a slip leaves one half as it is.
     """
-    hashed = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
-    c = classes.select("*", F.replace("norm", F.lit(" ")).alias("fold"), F.array_distinct(F.array_remove(F.split("norm", " "), "")).alias("all"))
-    c = c.withColumn("telling", F.filter("all", lambda w: ~w.isin(always)) if always else F.col("all"))
-    c = c.withColumns({"often": F.filter("telling", lambda w: w.isin(often)), "rare": F.filter("telling", lambda w: ~w.isin(often))})
-    long_ = F.filter("rare", lambda w: F.length(w) >= 6)
-    half = lambda part, end: F.transform(long_, lambda w: F.xxhash64(F.lit(end), part(w, F.lit(4))))
-    c = c.select(
-        "cid", (F.col("doi") == "").alias("bare"), "first", "last", F.xxhash64("doi").alias("doi1"), F.xxhash64(F.lit(1), "doi").alias("doi2"), (F.col("doi") != "").alias("has_doi"),
-        F.xxhash64("fold").alias("fold1"), F.xxhash64(F.lit(1), "fold").alias("fold2"), (F.col("fold") != "").alias("has_letters"),
-        F.when(F.size("telling") > 0, F.size("often")).otherwise(F.size("all")).alias("frequent"),
-        hashed(F.when(F.size("telling") > 0, F.concat("often", "rare")).otherwise(F.col("all"))).alias("words"),
-        hashed("rare").alias("alone"), F.concat(half(F.left, "head"), half(F.right, "tail")).alias("halves"),
+    fold = F.replace("norm", F.lit(" "))
+    c = classes.select(
+        "cid", "norm", (F.col("doi") == "").alias("bare"), "first", "last", F.xxhash64("doi").alias("doi1"), F.xxhash64(F.lit(1), "doi").alias("doi2"), (F.col("doi") != "").alias("has_doi"),
+        F.xxhash64(fold).alias("fold1"), F.xxhash64(F.lit(1), fold).alias("fold2"), (fold != "").alias("has_letters"),
     )
-    return c.mapInArrow(_all_paths(trees), "cid long, bare boolean, first int, last int, kind byte, key long, rest long")
+    return c.mapInArrow(_paths_of(trees, often, always), "cid long, bare boolean, first int, last int, kind byte, key long, rest long")
 
 
 def node(depth: int) -> Column:
@@ -264,9 +320,9 @@ class Forest:
         history = history[0] if len(history) == 1 else _union(history)
         exact = staged(self._exact(mine, history, slots), f"{self.folder}/exact")
         # A class that is known to be in the catalogue needs no second proof.
-        open_ = mine.filter("NOT exact").join(exact.filter("first = 0").select("cid"), "cid", "left_anti")
-        open_ = staged(open_.drop("exact", "part"), f"{self.folder}/open")
-        found = self._linked(open_, history.filter("NOT exact"), slots, run)
+        unknown = self.spark.read.parquet(run.titles).select("cid").join(exact.filter("first = 0").select("cid"), "cid", "left_anti")
+        open_ = staged(unknown, f"{self.folder}/open")
+        found = self._linked(narrowed(mine.filter("NOT exact"), open_, "cid", slots), history.filter("NOT exact"), slots, run)
         facts = exact.unionByName(found.select(F.col("a").alias("cid"), "first")).groupBy("cid").agg(F.min("first").alias("first"))
         out = staged(
             salted_join(new.filter("batch > 0").select("rid", "batch", "cid"), facts, ["cid"], ["rid"])
@@ -319,12 +375,14 @@ class Forest:
         asked = asked.select(meet("side").alias("meet"), F.col("cid").alias("a"), "last")
         known = history.select(meet("bare").alias("meet"), F.col("cid").alias("b"), "first")
         pairs = asked.join(narrowed(known, asked, "meet", slots), "meet").filter((F.col("first") < F.col("last")) & (F.col("a") != F.col("b")))
-        pairs = staged(pairs.groupBy("a", "b").agg(F.count("*").alias("trees"), F.min("first").alias("first")), f"{self.folder}/pairs")
+        pairs = staged(pairs.select("a", "b", "first"), f"{self.folder}/pairs")
         titles = self.spark.read.parquet(*(r.titles for r in self.runs))
         side = lambda titles, x, *of: titles.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in of))
         met = lambda pairs: narrowed(titles, pairs.select(F.col("b").alias("cid")), "cid", slots).dropDuplicates(["cid"])
         sketched = pairs.join(side(self.spark.read.parquet(run.titles), "a", "sketch"), "a").join(side(met(pairs), "b", "sketch"), "b")
-        alike = staged(sketched.filter(may_be_same(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b", "trees", "first"), f"{self.folder}/alike")
+        # Few pairs meet on several paths, but for those that are the same: they are counted when the others are ruled out.
+        alike = sketched.filter(may_be_same(F.col("sketch_a"), F.col("sketch_b"))).groupBy("a", "b").agg(F.count("*").alias("trees"), F.min("first").alias("first"))
+        alike = staged(alike, f"{self.folder}/alike")
         discard(self.spark, pairs)
         mine = narrowed(self.spark.read.parquet(run.titles), alike.select(F.col("a").alias("cid")), "cid", slots)
         both = alike.join(side(mine, "a", "norm", "cut"), "a").join(side(met(alike), "b", "norm", "cut"), "b")

@@ -8,6 +8,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -330,6 +331,26 @@ def test_history_crowded_word_leads_alone(spark):
     assert rows(history.seen_before(history.title_rows(df, F.col("rid"), F.col("batch")), share=0.09)) == [(1, "entries")]
 
 
+def test_word_hashes_are_those_of_spark(spark):
+    words = ["a", "abcd", "abcdef", "abcdefgh", "abcdefghijk", "y" * 15, "z" * 31, "q" * 32, "abcdefghijk" * 7, "überraschung", "中文标题测试文字"]
+    data, ends = titles.spaced(pa.array([" ".join(words[:4]), None, "", " ".join(words[4:])]))
+    begin, hashed, long_, heads, tails = titles.word_hashes(data)
+    half = lambda end, part: F.when(F.length("w") >= 6, F.xxhash64(F.lit(end), part("w", F.lit(4)))).otherwise(F.lit(0))
+    want = spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w"), half("head", F.left), half("tail", F.right)).collect()
+    assert [tuple(r) for r in want] == list(zip(*(x.view("int64").tolist() for x in (hashed, heads, tails))))
+    assert long_.tolist() == [len(w) >= 6 for w in words] and (ends.searchsorted(begin, side="right")).tolist() == [0] * 4 + [3] * 7
+
+
+def test_history_puts_slips_of_frequent_words_right(spark):
+    """Slips of frequent words, and two of them written together, leave the long prefixes of some trees as they are."""
+    often = sorted(history_often := "transient lowland karst discharge emulation forest multi objective peak".split())
+    slipped = ["trnasient lowlnd karst dischargee emulatoin forest multiobjective paek", " ".join(history_often)]
+    df = spark.createDataFrame([(i, 0, t, None) for i, t in enumerate(slipped)], "rid long, batch int, title string, doi string")
+    paths = history.permutations(history.title_classes(history.title_rows(df, F.col("rid"), F.col("batch"))), often, []).filter(F.col("kind").between(history.TREE, history.TREE + history.TREES - 1))
+    met = paths.groupBy("kind", history.node(6).alias("node")).agg(F.count_distinct("cid").alias("n")).filter("n = 2").count()
+    assert met == history.TREES - 1
+
+
 def test_history_half_a_rare_word(spark):
     """A title of one rare word with a slip is found by the half that has none; so is an unspaced Chinese one."""
     catalogue = [("Hydrology", None), ("水文模型的参数估计方法", "10.1/z")]
