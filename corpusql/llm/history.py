@@ -34,6 +34,8 @@ RANGE_ROWS = 2_000_000
 RUNS = 8
 #: Batches are taken together until they have so many rows, so that small ones don't cost a job each.
 TOGETHER = 1_000_000
+#: Rows of an Arrow batch of paths, which bounds what an executor holds of them outside its heap.
+BATCH_ROWS = 10_000
 #: Words of a path: the first has 28 bits of the key, three more 12 bits each, four more lie in ``rest``.
 LONGEST = 8
 #: Kinds of permutations: what is compared is the whole key, but for HALF and TREE (and on: one kind a tree), whose nodes are prefixes.
@@ -187,7 +189,8 @@ def _paths_of(trees: int, often: list[str], always: list[str]) -> Callable[[Iter
             # Sorted as the run will be, so that Spark has few long pieces to merge.
             order = np.lexsort((rests, keys, kinds <= LETTERS))
             own = [batch.column(c).take(pa.array(of[order])) for c in ("cid", "bare", "first", "last")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(kinds[order]), pa.array(keys[order]), pa.array(rests[order])], names=["cid", "bare", "first", "last", "kind", "key", "rest"])
+            out = pa.RecordBatch.from_arrays([*own, pa.array(kinds[order]), pa.array(keys[order]), pa.array(rests[order])], names=["cid", "bare", "first", "last", "kind", "key", "rest"])
+            yield from (out.slice(at, BATCH_ROWS) for at in range(0, out.num_rows, BATCH_ROWS))
 
     return paths
 
@@ -407,17 +410,18 @@ def seen_before(rows: DataFrame, share: float = 0.001, recall: float = 0.97, tre
     new nor history. Empty tables give no rows.
     """
     spark = rows.sparkSession
-    rows = staged(rows.filter("batch IS NOT NULL"), "rows", ["batch"])
-    forest = Forest(spark, "forest", share, trees, recall)
-    forest.add(rows.filter("batch = 0"))
     sizes = sorted((r.batch, r.n) for r in rows.filter("batch > 0").groupBy("batch").agg(F.count("*").alias("n")).collect())
-    groups: list[list[int]] = []
+    starts: list[int] = []  # the first batch of each group
     size = together
     for batch, n in sizes:
         if size + n > together:
-            groups.append([])
+            starts.append(batch)
             size = 0
-        groups[-1].append(batch)
         size += n
-    seen = [forest.check(rows.filter(F.col("batch").isin(g))) for g in groups]
+    # A folder a group: with one a batch, each task would write as many files as there are batches.
+    step = F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= F.col("batch"))) if starts else F.lit(0)
+    rows = staged(rows.filter("batch >= 0").withColumn("step", step), "rows", ["step"])
+    forest = Forest(spark, "forest", share, trees, recall)
+    forest.add(rows.filter("step = 0"))
+    seen = [forest.check(rows.filter(F.col("step") == i + 1)) for i in range(len(starts))]
     return _union(seen) if seen else spark.createDataFrame([], "rid long, seen_in string")
